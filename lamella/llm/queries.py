@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from lamella.llm.op3 import op3_bpe
+from lamella.llm.op7 import op7_token_planes
+from lamella.llm.op8 import op8_pack
 
-QUERIES = {"op3_bpe": op3_bpe}
+QUERIES = {"op3_bpe": op3_bpe, "op7_token_planes": op7_token_planes, "op8_pack": op8_pack}
 ORACLE: dict[str, str] = {}
