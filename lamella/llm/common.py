@@ -37,11 +37,16 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df, written to the shared folder and read again: short lineage that outlives lost executors."""
+def write_table(df: DataFrame, name: str) -> str:
+    """Writes df to the shared folder and returns the path."""
     path = f"{scratch(df.sparkSession, name)}/t"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows of df, written to the shared folder and read again: short lineage that outlives lost executors."""
+    return df.sparkSession.read.schema(df.schema).parquet(write_table(df, name))
 
 
 def tune(spark: SparkSession) -> None:

@@ -1,0 +1,70 @@
+import hashlib
+import zipfile
+import zlib
+
+import pytest
+from pyspark.sql import types as T
+
+from lamella.llm import media, op10
+
+DOC = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("payload", T.StringType()), T.StructField("error", T.StringType())])
+ROWS = [(1, "x"), (2, None), (3, ""), (-4, "é" * 288), (5, "a" * 576), (5, "a" * 576), (None, "no id"), (6, "b" * 577), (7, "word " * 90_000)]
+
+
+@pytest.mark.parametrize("n", [0, 1, 575, 576, 577, 5000])
+def test_png_round_trip(n):
+    payload = media.pad(bytes(k % 251 for k in range(n)))
+    assert len(payload) % 576 == 0 and len(payload) >= 576
+    assert media.decode_png(media.encode_png(payload)) == payload
+
+
+def test_query(spark, tmp_path):
+    spark.createDataFrame([(*r, "x", None) for r in ROWS], DOC).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = op10.op10_media(spark, str(tmp_path)).collect()
+    want = []
+    for i, t in ROWS:
+        raw = (t or "").encode()
+        p = raw + b"\xff" * ((576 - len(raw) % 576) % 576 if raw else 576)
+        m = media.encode_png(p)
+        want.append((i, len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(m), hashlib.sha256(m).hexdigest(), media.feature(p)))
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_empty(spark, tmp_path):
+    spark.createDataFrame([], DOC).write.parquet(f"{tmp_path}/documents.parquet")
+    assert op10.op10_media(spark, str(tmp_path)).collect() == []
+
+
+def test_ranges_cover_each_member_once_and_damage_stays_local(spark, tmp_path):
+    with zipfile.ZipFile(f"{tmp_path}/a.zip", "w") as z:
+        for k in range(50):
+            z.writestr(f"{k}.bin", bytes([k]) * (100 + k))
+    with zipfile.ZipFile(f"{tmp_path}/b.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("only.bin", b"q" * 999)
+    raw = bytearray(open(f"{tmp_path}/a.zip", "rb").read())
+    raw[raw.index(bytes([7]) * 100)] = 0
+    open(f"{tmp_path}/a.zip", "wb").write(raw)
+    got = {(r.archive.rpartition("/")[2], r.member): r for r in media.load(spark, f"file://{tmp_path}", rangeBytes="333").collect()}
+    assert len(got) == 51
+    assert got["a.zip", "7.bin"].error == "CRC differs" and got["a.zip", "7.bin"].payload is None
+    assert all(got["a.zip", f"{k}.bin"].payload == bytes([k]) * (100 + k) and got["a.zip", f"{k}.bin"].error is None for k in range(50) if k != 7)
+    assert got["b.zip", "only.bin"].payload == b"q" * 999
+
+
+def test_a_member_is_tried_again(tmp_path, monkeypatch):
+    with zipfile.ZipFile(f"{tmp_path}/a.zip", "w") as z:
+        z.writestr("0.bin", b"zero")
+        z.writestr("1.bin", b"one")
+    seen, real = [], media.read_member
+
+    def flaky(uri, info, source=None):
+        seen.append(info.filename)
+        if info.filename == "1.bin" and seen.count("1.bin") < 3:
+            raise OSError("lost")
+        return real(uri, info, source)
+
+    monkeypatch.setattr(media, "read_member", flaky)
+    reader = media.ArchiveReader({"path": f"file://{tmp_path}"})
+    rows = [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+    assert [(r["member"], r["payload"], r["error"]) for r in rows] == [("0.bin", b"zero", None), ("1.bin", b"one", None)]
+    assert seen == ["0.bin", "1.bin", "1.bin", "1.bin"]

@@ -1,0 +1,53 @@
+import zlib
+from collections import defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from lamella.llm import op9, sharding
+
+DOC = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("shard", T.StringType())])
+
+
+def check(rows, got, shards=40, slack=None):
+    assert sorted(map(str, ((i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in rows))) == sorted(str((r.doc_id, r.size, r.text_crc32)) for r in got)
+    by = defaultdict(list)
+    for r in got:
+        by[r.shard].append(r)
+    assert set(by) <= set(range(shards))
+    for rs in by.values():
+        assert sorted(r.slot for r in rs) == list(range(len(rs)))
+    sizes = [sum(r.size for r in by[k]) for k in range(shards)]
+    mean, most = sum(sizes) / shards, max((r.size for r in got), default=0)
+    slack = most if slack is None else slack
+    assert max(sizes) <= mean * 1.01 + slack and min(sizes) >= mean * 0.99 - slack, sizes
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_documents(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    check([(r.doc_id, r.text) for r in docs.collect()], op9.op9_shards(spark, f"/root/testdata/{sf}").collect())
+
+
+def test_hot_text_is_split(spark, tmp_path):
+    rows = [(k, "same text " * 9) for k in range(3000)] + [(5000 + k, f"text {k} " * (1 + k % 7)) for k in range(2000)] + [(None, None), (1, ""), (1, None)]
+    spark.createDataFrame([(*r, "x") for r in rows], DOC).repartition(7).write.parquet(f"{tmp_path}/documents.parquet")
+    check(rows, op9.op9_shards(spark, str(tmp_path)).collect())
+
+
+def test_repeated_rows_few_rows_and_none(spark, tmp_path):
+    rows = [(7, "a")] * 50 + [(8, "b")]
+    spark.createDataFrame([(*r, "x") for r in rows], DOC).write.parquet(f"{tmp_path}/1/documents.parquet")
+    got = op9.op9_shards(spark, f"{tmp_path}/1").collect()
+    check(rows, got, slack=10**6)
+    assert len({r.shard for r in got if r.doc_id == 7}) == 1
+    spark.createDataFrame([], DOC).write.parquet(f"{tmp_path}/2/documents.parquet")
+    assert op9.op9_shards(spark, f"{tmp_path}/2").collect() == []
+
+
+def test_groups_stay_together_where_they_fit(spark):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), (F.col("id") % 1000).cast("string"), F.lit(" word" * 5)).alias("text"), F.lit("s").alias("shard"))
+    got = sharding.shard(docs, 4)
+    assert got.columns == ["doc_id", "text", "shard_in", "shard", "slot"]
+    assert got.groupBy("text").agg(F.countDistinct("shard").alias("n")).where("n > 1").count() == 0
