@@ -1,7 +1,7 @@
 """BPE encoding and decoding by tree concatenation.
 
-Text is cut at spaces and line ends, where the tokenizer drops white space anyway, and each distinct unit is encoded
-once per worker. A piece of text that the tokenizer would merge as a whole (a "pretoken") and that is longer than
+Text is cut at spaces and line ends, where the tokenizer drops white space anyway. A batch's distinct units are looked up
+in what the worker remembers, and Arrow gathers their ids in the order of the text. A piece of text that the tokenizer would merge as a whole (a "pretoken") and that is longer than
 LEAF characters is cut in leaves. All leaves are encoded at once; then neighbours are joined pairwise, level by level.
 Around each join a window of tokens from both sides is encoded again and grows until its first token is the left side's
 and its last token is the right side's. Adjacent tokens of a merge-order encoding are then compatible everywhere,
@@ -12,18 +12,24 @@ Results: null and empty texts have no tokens. Ids equal those of the library's e
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 LEAF = 256
-#: Distinct units that a worker remembers. Beyond that it starts anew, so memory has a bound and results stay the same.
-REMEMBERED = 400_000
+#: A worker remembers between once and twice so many distinct units, those met last. Results do not depend on it.
+REMEMBERED = 200_000
+#: Texts without these are lower-cased and cut at the borders of letters by Arrow, as the library would do it: NFC leaves
+#: their characters as they are, and lower case does not depend on neighbours. All others are cut at spaces alone.
+NOT_PLAIN = "[^ -~\\n¡-įı-ɏ]|<\\|"
+PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"  # fixed value: the split pattern of the vocabulary file
 
 
 class TreeEncoder:
@@ -85,11 +91,45 @@ class TreeEncoder:
         return joined + parts[len(pairs) * 2 :]
 
 
+class Memo:
+    """Remembers values by key in two generations, so that keys met often stay and memory has a bound."""
+
+    def __init__(self):
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def values(self, keys: list[str], learn: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+        """The values of distinct keys; learn gives those not remembered."""
+        if len(self.young) > REMEMBERED:
+            self.old, self.young = self.young, {}
+        young = self.young
+        out = list(map(young.get, keys))
+        gone = [k for k, v in enumerate(out) if v is None]
+        if gone and self.old:
+            get, left = self.old.get, []
+            for k in gone:
+                v = get(keys[k])
+                if v is None:
+                    left.append(k)
+                else:
+                    out[k] = young[keys[k]] = v
+            gone = left
+        new = [keys[k] for k in gone]
+        for k, key, v in zip(gone, new, learn(new) if new else [], strict=True):
+            out[k] = young[key] = v
+        return out
+
+
+def _bytes(ids: list[int]) -> bytes:
+    return np.asarray(ids, "<u4").tobytes()
+
+
 class Codec:
-    """A tokenizer file's encoder and decoder. pack turns the ids of a unit into what is remembered and joined."""
+    """A tokenizer file's encoder and decoder."""
 
-    def __init__(self, path: str, pack: Callable[[Codec, list[list[int]]], list] | None = None, leaf: int = LEAF):
+    def __init__(self, path: str, leaf: int = LEAF):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import regex
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -97,14 +137,23 @@ class Codec:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.pack = pack or pack_ids
         self.leaf = leaf
-        self.splits = self._drops_space(spec)
-        self.tree = TreeEncoder(spec, leaf) if spec["model"]["type"] == "BPE" and not spec["model"].get("dropout") and not spec["model"].get("unk_token") else None
+        self._tree: TreeEncoder | None = None
+        model = spec["model"]
+        whole = model["type"] == "BPE" and not model.get("dropout") and not model.get("unk_token") and not model.get("ignore_merges")
+        self.splits = whole and self._drops_space(spec)
+        self.spec = spec
         added = sorted((x["content"] for x in spec["added_tokens"]), key=len, reverse=True)
         self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.added_re = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
-        self.memo: dict[str, object] = {}
+        size = self.tok.get_vocab_size(with_added_tokens=True)
+        self.tokens = pa.array([self.tok.id_to_token(k) or "" for k in range(size)], pa.string())
+        pattern = (((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0].get("pattern") or {}).get("Regex")
+        suffix = model.get("end_of_word_suffix") or ""
+        #: Which ids end a pretoken; known only for vocabularies that mark word ends.
+        self.ends = np.asarray([bool(suffix) and t.endswith(suffix) for t in self.tokens.to_pylist()]) if self.splits and pattern == PRETOKENS and suffix else None
+        self.find = regex.compile(PRETOKENS).findall
+        self.units = Memo()
 
     @staticmethod
     def _drops_space(spec: dict) -> bool:
@@ -115,6 +164,12 @@ class Codec:
         strips = any(x.get("lstrip") or x.get("rstrip") or x.get("single_word") or x.get("normalized") for x in spec["added_tokens"])
         return plain and not strips and first.get("type") == "Split" and first.get("behavior") == "Removed" and bool(first.get("invert"))
 
+    @property
+    def tree(self) -> TreeEncoder:
+        if self._tree is None:
+            self._tree = TreeEncoder(self.spec, self.leaf)
+        return self._tree
+
     def _long(self, unit: str) -> list[int]:
         """As the library: added tokens first, then normalizer and pre-tokenizer; long pretokens by the tree."""
         ids: list[int] = []
@@ -127,81 +182,130 @@ class Codec:
                 ids += self.tree.encode(piece)
         return ids
 
-    def _learn(self, units: Iterable[str]) -> None:
-        units = list(units)
-        short = [u for u in units if len(u) <= self.leaf or not (self.tree and self.splits)]
-        long = [u for u in units if len(u) > self.leaf and self.tree and self.splits]
-        for k in range(0, len(short), 20_000):
-            part = short[k : k + 20_000]
-            ids = [e.ids for e in self.tok.encode_batch(part, add_special_tokens=False)]
-            self.memo.update(zip(part, self.pack(self, ids), strict=True))
-        for u in long:
-            self.memo[u] = self.pack(self, [self._long(u)])[0]
-
-    def units(self, text: str) -> list[str]:
-        return text.replace("\n", " ").split(" ") if self.splits else [text]
-
-    def packed(self, texts: list[str]) -> Iterator[list]:
-        """For each text the packed values of its units, in order."""
-        if len(self.memo) > REMEMBERED or not self.splits:
-            self.memo.clear()
-        cut = [self.units(t) for t in texts]
-        new: set[str] = set()
-        for c in cut:
-            new.update(c)
-        self._learn(new - self.memo.keys())
-        get = self.memo.__getitem__
-        for c in cut:
-            yield list(map(get, c))
-
-    def id_bytes(self, texts: list[str]) -> Iterator[bytes]:
-        """Ids as little-endian unsigned 32-bit integers. For the default pack."""
-        for parts in self.packed(texts):
-            yield b"".join(parts)
+    def _learn_pretokens(self, pieces: list[str]) -> list[bytes]:
+        """Many pretokens as one text, cut at the ids that end a word."""
+        out: list[bytes] = []
+        for k in range(0, len(pieces), 4096):
+            part = pieces[k : k + 4096]
+            ids = np.asarray(self.tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(cuts) == len(part):
+                raw = ids.tobytes()
+                out += [raw[4 * a : 4 * b] for a, b in zip([0, *cuts], cuts, strict=False)]
+            else:
+                out += [_bytes(e.ids) for e in self.tok.encode_batch_fast(part, add_special_tokens=False)]
+        return out
+
+    def _learn_units(self, units: list[str]) -> list[bytes]:
+        out: list = [b""] * len(units)
+        other = []
+        for k, u in enumerate(units):
+            if len(u) > self.leaf and self.splits:
+                out[k] = _bytes(self._long(u))
+            elif u:
+                other.append(k)
+        for k, e in zip(other, self.tok.encode_batch_fast([units[k] for k in other], add_special_tokens=False), strict=True):
+            out[k] = _bytes(e.ids)
+        return out
+
+    def _learn_plain(self, units: list[str]) -> list[bytes]:
+        """Units of plain texts, in lower case: most are one run of letters, which is one pretoken."""
+        long = [len(u) > self.leaf for u in units]
+        whole = [u for u, far in zip(units, long, strict=True) if not far and u.isalpha()]
+        values = dict(zip(whole, self._learn_pretokens(whole), strict=True))
+        rest = [u for u, far in zip(units, long, strict=True) if not far and u not in values]
+        found = [self.find(u) for u in rest]
+        distinct = list({p for f in found for p in f})
+        get = dict(zip(distinct, self._learn_pretokens(distinct), strict=True)).__getitem__
+        values.update((u, b"".join(map(get, f))) for u, f in zip(rest, found, strict=True))
+        values.update((u, _bytes(self._long(u))) for u, far in zip(units, long, strict=True) if far)
+        return list(map(values.__getitem__, units))
+
+    def _gather(self, lists: pa.Array, learn: Callable) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of lists of units, and how many each list has."""
+        flat, bounds = lists.flatten().dictionary_encode(), np.asarray(lists.offsets, np.int64)
+        values = self.units.values(flat.dictionary.to_numpy(zero_copy_only=False).tolist(), learn)
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        ragged = pa.LargeListArray.from_arrays(np.r_[0, np.cumsum(sizes)], pa.Array.from_buffers(pa.uint32(), int(sizes.sum()), [None, pa.py_buffer(b"".join(values))]))
+        ids = ragged.take(flat.indices).flatten().to_numpy(zero_copy_only=False)
+        ends = np.r_[0, np.cumsum(sizes[flat.indices.to_numpy(zero_copy_only=False)])] if len(flat) else np.zeros(1, np.int64)
+        return ids, np.diff(ends[bounds - bounds[0]])
+
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts (unsigned 32-bit) and where each text's begin, with the end of the last. Null is empty."""
+        collects = gc.isenabled()
+        gc.disable()  # millions of short-lived lists without cycles
+        try:
+            return self._batch(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        if not self.splits:
+            values = [e.ids for e in self.tok.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            return np.asarray([i for v in values for i in v], "<u4"), np.r_[0, np.cumsum(list(map(len, values)))].astype(np.int64)
+        kinds = np.full(len(texts), 2)
+        if self.ends is not None:
+            plain = pc.invert(pc.match_substring_regex(texts, NOT_PLAIN)).to_numpy(zero_copy_only=False)
+            kinds = np.where(plain, pc.match_substring(texts, "'").to_numpy(zero_copy_only=False).astype(int), 2)
+        ids, counts = [], np.zeros(len(texts), np.int64)
+        order = [np.flatnonzero(kinds == k) for k in range(3)]
+        for kind, at in enumerate(order):
+            if not len(at):
+                continue
+            part = texts.take(pa.array(at))
+            if kind < 2:
+                part = pc.replace_substring_regex(pc.utf8_lower(part), (r"[^\s\p{L}]+", PRETOKENS)[kind], r" \0 ")
+            found, counts[at] = self._gather(pc.split_pattern(pc.replace_substring(part, "\n", " "), " "), self._learn_units if kind == 2 else self._learn_plain)
+            ids.append(found)
+        bounds = np.r_[0, np.cumsum(counts)]
+        if len(ids) == 1:
+            return ids[0].astype("<u4", copy=False), bounds
+        shuffled = np.concatenate(order)
+        lists = pa.LargeListArray.from_arrays(np.r_[0, np.cumsum(counts[shuffled])], pa.array(np.concatenate(ids) if ids else np.zeros(0, "<u4")))
+        return lists.take(pa.array(np.argsort(shuffled))).flatten().to_numpy(zero_copy_only=False).astype("<u4", copy=False), bounds
+
+    def id_bytes(self, texts: pa.Array) -> list[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit integers."""
+        ids, at = self.batch(texts)
+        raw, cuts = memoryview(ids.tobytes()), (4 * at).tolist()
+        return [bytes(raw[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def encode(self, text: str | None) -> list[int]:
-        return np.frombuffer(next(self.id_bytes([text or ""])), "<u4").tolist()
+        return self.batch(pa.array([text], pa.string()))[0].tolist()
 
     def decode(self, ids: list[int]) -> str:
         return self.tok.decode(ids, skip_special_tokens=False)
 
-
-def pack_ids(codec: Codec, ids: list[list[int]]) -> list[bytes]:
-    return [np.asarray(x, "<u4").tobytes() for x in ids]
-
-
-def pack_ids_and_text(codec: Codec, ids: list[list[int]]) -> list[tuple[bytes, str]]:
-    """Ids and decoded text of a unit. Decodings are joined by a space, as the library does without a decoder."""
-    return list(zip(pack_ids(codec, ids), codec.tok.decode_batch(ids, skip_special_tokens=False), strict=True))
+    def decode_batch(self, ids: np.ndarray, at: np.ndarray) -> pa.Array:
+        """Texts of many id lists. Without a decoder the library joins tokens by a space; Arrow does the same at once."""
+        if self.tok.decoder is not None:
+            return pa.array([self.decode(ids[a:b].tolist()) for a, b in zip(at, at[1:], strict=False)], pa.string())
+        lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), self.tokens.take(pa.array(ids)))
+        return pc.binary_join(lists, " ")
 
 
-_codecs: dict = {}
+_codecs: dict[str, Codec] = {}
 
 
-def codec(path: str, pack: Callable | None = None) -> Codec:
-    """One codec for each worker process and pack."""
-    key = (path, (pack or pack_ids).__name__)
-    if key not in _codecs:
-        _codecs[key] = Codec(path, pack)
-    return _codecs[key]
+def codec(path: str) -> Codec:
+    """One codec for each worker process."""
+    if path not in _codecs:
+        _codecs[path] = Codec(path)
+    return _codecs[path]
 
 
 def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Columns id_col, ids (array of int) and decoded (string), one row for each row of docs. Narrow: no shuffle."""
 
     def run(batches):
-        c = codec(path, pack_ids_and_text)
-        joins = c.tok.decoder is None and c.splits
+        c = codec(path)
         for b in batches:
-            texts = [x or "" for x in b.column(1).to_pylist()]
-            ids, decoded = [], []
-            for parts in c.packed(texts):
-                raw = b"".join([p[0] for p in parts])
-                ids.append(raw)
-                decoded.append(" ".join([p[1] for p in parts if p[0]]) if joins else c.decode(np.frombuffer(raw, "<u4").tolist()))
-            offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
-            flat = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(ids))])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), flat), pa.array(decoded, pa.string())], names=[id_col, "ids", "decoded"])
+            ids, at = c.batch(b.column(1))
+            flat = pa.array(ids.view(np.int32), pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), flat), c.decode_batch(ids, at)], names=[id_col, "ids", "decoded"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, decoded string")

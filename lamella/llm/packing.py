@@ -71,8 +71,7 @@ def _pieces(batches, path: str, capacity: int, end: bytes):
     docs: list = []
     rows: list[tuple[int, int, int, int, int]] = []
     for b in batches:
-        texts = [x or "" for x in b.column(1).to_pylist()]
-        for raw in codec(path).id_bytes(texts):
+        for raw in codec(path).id_bytes(b.column(1)):
             raw += end
             for k in range(0, len(raw), step):
                 cut = raw[k : k + step]

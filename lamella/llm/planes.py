@@ -155,7 +155,7 @@ def write_ids(docs: DataFrame, path: str, end_id: int | None = None, bits: bool
             if writer is None:
                 store, where = fs.FileSystem.from_uri(name)
                 writer = PlaneWriter(store.open_output_stream(where), bits)
-            ids = [x + end for x in codec(path).id_bytes([x or "" for x in b.column(1).to_pylist()])]
+            ids = [x + end for x in codec(path).id_bytes(b.column(1))]
             total += sum(map(len, ids)) // 4
             writer.add(b.column(0).to_pylist(), ids)
         if writer is not None:

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import types as T
@@ -29,7 +30,7 @@ def test_codec_equals_library(plain):
     for t in odd_texts():
         assert c.encode(t) == plain.encode(t, add_special_tokens=False).ids, t[:40]
     texts = pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist()
-    for t, ids in zip(texts, c.id_bytes(texts), strict=True):
+    for t, ids in zip(texts, c.id_bytes(pa.array(texts)), strict=True):
         assert ids == b"".join(i.to_bytes(4, "little") for i in plain.encode(t, add_special_tokens=False).ids)
 
 
@@ -55,3 +56,10 @@ def test_query_on_odd_rows(spark, plain, tmp_path):
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], DOC).write.parquet(f"{tmp_path}/documents.parquet")
     assert op3.op3_bpe(spark, str(tmp_path)).collect() == []
+
+
+def test_every_plain_character(plain):
+    c = bpe.Codec(PATH)
+    for k in [*range(0x20, 0x7F), *range(0xA1, 0x250), 0x1E9E, 0x3A3, 0x130]:
+        for t in (chr(k), f"a{chr(k)}B", f"x {chr(k)}'S' we'LL{chr(k)} 12.5,'s", f"{chr(k)}{chr(k)}1"):
+            assert c.encode(t) == plain.encode(t, add_special_tokens=False).ids, (k, t)
