@@ -1 +1 @@
-
+"""Types, comparison families and aggregates."""

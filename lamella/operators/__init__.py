@@ -1 +1 @@
-
+"""Relational operators as functions on DataFrames."""
