@@ -87,6 +87,14 @@ dialect("join_full", "select n.n_nationkey, s.s_suppkey from nation n full outer
 dialect("join_theta", "select a.n_name as low_name, b.n_name as high_name from nation a join nation b on a.n_nationkey < b.n_nationkey and a.n_regionkey = b.n_regionkey")
 dialect("join_chain", "select c_name, o_orderkey, n_name from customer join orders on c_custkey = o_custkey left join nation on c_nationkey = n_nationkey where o_orderstatus = 'O'")
 
+
+
+def _reordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return engine(spark, sf_dir, TABLES[:8]).query_reordered("select l_orderkey, l_linenumber, c_name, n_name from lineitem, orders, customer, nation where l_orderkey = o_orderkey and o_custkey = c_custkey and c_nationkey = n_nationkey and n_regionkey = 2")
+
+
+QUERIES["join_order_greedy"], ORACLE["join_order_greedy"] = _reordered, ORACLE["implicit_join_four"]
+
 # views
 _ASIA = "create view some_nations as select n_nationkey, n_name, n_regionkey from nation where n_regionkey = 2"
 dialect("view_simple", "select n_name from some_nations", "select n_name from nation where n_regionkey = 2", (_ASIA,))

@@ -65,6 +65,10 @@ class Table:
             return self.spark.createDataFrame([], v.schema)
         return self.spark.read.schema(v.schema).parquet(*v.files)
 
+    def read_files(self, v: Version, first: int, end: int) -> DataFrame:
+        """A chunk of a table: the rows of files first to end - 1 of a version."""
+        return self.read(replace(v, files=v.files[first:end]))
+
     def write_files(self, df: DataFrame, sort: tuple[str, ...] = ()) -> tuple[str, ...]:
         """New files with the rows of df, sorted within each file by indexed fields."""
         path = f"{self.path}/data/{uuid.uuid4().hex}"

@@ -1 +1 @@
-
+"""The engine has no streaming operators: every scan is of a finite, published version of a table."""
