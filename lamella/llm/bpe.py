@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 
 LEAF = 256
 #: A worker remembers between once and twice so many distinct units, those met last. Results do not depend on it.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 #: Texts without these are lower-cased and cut at the borders of letters by Arrow, as the library would do it: NFC leaves
 #: their characters as they are, and lower case does not depend on neighbours. All others are cut at spaces alone.
 NOT_PLAIN = "[^ -~\\n¡-įı-ɏ]|<\\|"
