@@ -178,8 +178,11 @@ class Codec:
                 ids.append(self.added[part])
                 continue
             text = self.tok.normalizer.normalize_str(part) if self.tok.normalizer else part
-            for piece, _ in self.tok.pre_tokenizer.pre_tokenize_str(text):
-                ids += self.tree.encode(piece)
+            pieces = [p for p, _ in self.tok.pre_tokenizer.pre_tokenize_str(text)]
+            short = list({p for p in pieces if len(p) <= self.leaf})
+            known = dict(zip(short, (e.ids for e in self.tree.last.encode_batch(short, add_special_tokens=False)), strict=True))
+            for p in pieces:
+                ids += known[p] if p in known else self.tree.encode(p)
         return ids
 
     def _learn_pretokens(self, pieces: list[str]) -> list[bytes]:

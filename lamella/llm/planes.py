@@ -197,4 +197,4 @@ def read_ids(manifest: DataFrame) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "start", "ids"])
 
     plan = spark.createDataFrame(files, "path string, base long")
-    return plan.repartition(max(1, len(files)), "path").mapInArrow(run, "doc_id long, start long, ids binary")
+    return plan.repartition(max(1, len(files))).mapInArrow(run, "doc_id long, start long, ids binary")

@@ -12,6 +12,10 @@ together. A table with fewer rows than shards leaves shards empty; an empty tabl
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections import Counter
+from itertools import accumulate
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -82,43 +86,28 @@ def splitters(keys: DataFrame, parts: int, shard_every: int) -> list[Key]:
     span = [((h0, LOW), (h1, HIGH)) for _ in wanted]
     chosen: list[Key | None] = [None] * len(wanted)
     while any(c is None for c in chosen):
-        probes: set[Key] = set()
         open_ = [j for j, c in enumerate(chosen) if c is None]
-        for lo, hi in {span[j] for j in open_}:
-            many = sum(span[j] == (lo, hi) for j in open_)
-            probes.update(between(lo, hi, PROBES * many))
-        grid = sorted(probes)
+        sharing = Counter(span[j] for j in open_)
+        grid = sorted({k for (lo, hi), n in sharing.items() for k in between(lo, hi, PROBES * n)})
         found = count_between(keys, grid) if grid else {}
-        below, at = [], 0
-        for k in range(len(grid)):
-            at += found.get(k, (0,))[0]
-            below.append(at)
+        below = list(accumulate(found.get(k, (0,))[0] for k in range(len(grid))))
         ends.update(zip(grid, below, strict=True))
         for j in open_:
             lo, hi = span[j]
-            inside = [(k, b) for k, b in zip(grid, below, strict=True) if lo < k < hi]
-            for k, b in inside:
-                if b <= wanted[j]:
-                    lo = k
-                else:
-                    hi = k
-                    break
-            # What lies between, from the counts: the interval shrinks to the keys that are there.
-            here = found.get(grid.index(lo) + 1 if lo in probes else (grid.index(hi) if hi in probes else -1)) if inside else None
-            if here and here[2] == here[3]:
-                tight_lo, tight_hi = (here[2], here[4]), (here[2], here[5] + 1)
-            elif here:
-                tight_lo, tight_hi = (here[2], LOW), (here[3] + 1, LOW)
-            if here:
-                if lo < tight_lo:
-                    ends.setdefault(tight_lo, ends[lo])
-                    lo = tight_lo
-                if tight_hi < hi:
-                    ends.setdefault(tight_hi, ends[hi])
-                    hi = tight_hi
-            near = min((lo, hi), key=lambda k: abs(ends[k] - wanted[j]))
-            stuck = not inside and not between(lo, hi, 1)
-            if abs(ends[near] - wanted[j]) <= slack[j] or stuck:
+            a, z = bisect_right(grid, lo), bisect_left(grid, hi)
+            k = bisect_right(below, wanted[j], a, z)
+            lo, hi = grid[k - 1] if k > a else lo, grid[k] if k < z else hi
+            if grid and k in found:  # no rows lie before the least key there, nor after the greatest
+                _, _, h0, h1, s0, s1 = found[k]
+                least, beyond = ((h0, s0), (h0, s1 + 1)) if h0 == h1 else ((h0, LOW), (h1 + 1, LOW))
+                if lo < least < hi:
+                    ends.setdefault(least, ends[lo])
+                    lo = least
+                if lo < beyond < hi:
+                    ends.setdefault(beyond, ends[hi])
+                    hi = beyond
+            near = min((lo, hi), key=lambda x: abs(ends[x] - wanted[j]))
+            if abs(ends[near] - wanted[j]) <= slack[j] or not between(lo, hi, 1):
                 chosen[j] = near
             span[j] = (lo, hi)
     return sorted(chosen)
