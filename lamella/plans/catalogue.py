@@ -183,7 +183,7 @@ def _folder(spark: SparkSession) -> str:
 
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not shared:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.partition("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         shared = "file://" + tempfile.mkdtemp(prefix="lamella-")
     return f"{shared.rstrip('/')}/tables-{uuid.uuid4().hex}"

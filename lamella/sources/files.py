@@ -36,9 +36,12 @@ class Files:
             stream.close()
 
     def create_json(self, path: str, value) -> bool:
-        """Writes a new file as a whole; false if there is one already."""
+        """Writes a new file as a whole; false if there is one already, or another writer has claimed its name.
+
+        The claim, an empty file made exclusively, decides between writers also on stores whose rename replaces files.
+        """
         fs, p = self._at(path)
-        if fs.exists(p):
+        if fs.exists(p) or not fs.createNewFile(self.jvm.org.apache.hadoop.fs.Path(f"{path}.claim")):
             return False
         part = self.jvm.org.apache.hadoop.fs.Path(f"{path}.{self.jvm.java.util.UUID.randomUUID().toString()}.part")
         out = fs.create(part, True)
