@@ -23,6 +23,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from lamella.llm.words import plain_texts
+
 LEAF = 256
 #: A worker remembers between once and twice so many distinct units, those met last. Results do not depend on it.
 REMEMBERED = 100_000
@@ -245,7 +247,7 @@ class Codec:
                 gc.enable()
 
     def _batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        texts = plain_texts(texts)
         if not self.splits:
             values = [e.ids for e in self.tok.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
             return np.asarray([i for v in values for i in v], "<u4"), np.r_[0, np.cumsum(list(map(len, values)))].astype(np.int64)

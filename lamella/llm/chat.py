@@ -26,6 +26,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lamella.llm.words import plain_texts
+
 BEGIN, OPEN, CLOSE, END = "<s>", "[INST]", "[/INST]", "</s>"
 TURN = re.compile(r"\[INST\](.*?)\[/INST\](.*?)</s>", re.S)
 TRAINED = "assistant"
@@ -34,7 +36,7 @@ SCHEMA = "conv_id long, part int, n_turns int, formatted string, loss_start arra
 
 
 def escape(column: pa.Array) -> pa.Array:
-    out = pc.replace_substring(pc.fill_null(column.cast(pa.large_string()), ""), "\\", "\\\\")
+    out = pc.replace_substring(plain_texts(column), "\\", "\\\\")
     for control in (BEGIN, OPEN, CLOSE, END):
         out = pc.replace_substring(out, control, f"{control[0]}\\{control[1:]}")
     return out

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from lamella.llm.words import ODD, hash_strings, mix, split_words, windows
+from lamella.llm.words import ODD, hash_strings, mix, plain_texts, split_words, windows
 
 WINDOW = 5
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -45,7 +45,7 @@ def _firsts(h: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def statistics(texts: pa.Array) -> dict[str, np.ndarray]:
     """COUNTS (int64) and RATIOS (float64) of each text."""
     n = len(texts)
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    texts = plain_texts(texts)
     words, bounds = split_words(texts)
     n_words = np.diff(bounds)
     owner = np.repeat(np.arange(n), n_words)

@@ -10,9 +10,17 @@ import pyarrow.compute as pc
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
+def plain_texts(column: pa.Array) -> pa.Array:
+    """A string column as large strings without nulls, in buffers of its own: some Arrow kernels misread slices."""
+    texts = pc.fill_null(column.cast(pa.large_string()), "")
+    if texts.offset or (len(texts) and np.frombuffer(texts.buffers()[1], np.int64, 1)[0]):
+        texts = texts.take(pa.array(np.arange(len(texts))))
+    return texts
+
+
 def split_words(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray]:
     """All words of the texts, in order, and where each text's begin, with the end of the last. lower: A-Z only. Null is empty."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    texts = plain_texts(texts)
     if lower:
         texts = pc.ascii_lower(texts)
     lists = pc.ascii_split_whitespace(texts)

@@ -60,6 +60,10 @@ def test_word_sets():
     texts = ["A b\x0bC\x1cd é", None, "", " \t\n", "one", "One TWO", "a b c a b c", " x  y z É É "]
     for t, s in zip(texts, words.shingle_sets(pa.array(texts), 3), strict=True):
         assert len(s) == len(sets_of(t, 3)), t
+    whole = words.shingle_sets(pa.array(texts), 3)
+    for a in range(len(texts)):
+        for s, t in zip(words.shingle_sets(pa.array(texts)[a : a + 3], 3), whole[a:], strict=False):
+            assert (s == t).all()
     assert (words.shingle_sets(pa.array(["A B c"]), 3)[0] == words.shingle_sets(pa.array(["q", " a b  C "]), 3)[1]).all()
 
 
