@@ -19,7 +19,7 @@ def shared_dir(spark: SparkSession) -> str:
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if where:
         return where.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master.partition("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="lamella-"))
@@ -46,7 +46,18 @@ def write_table(df: DataFrame, name: str) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of df, written to the shared folder and read again: short lineage that outlives lost executors."""
-    return df.sparkSession.read.schema(df.schema).parquet(write_table(df, name))
+    path = write_table(df, name)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that `written` gave, once nothing reads them any more."""
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        hadoop = jvm.org.apache.hadoop.fs.Path(df.written_path.rpartition("/")[0])
+        hadoop.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def tune(spark: SparkSession) -> None:

@@ -1,7 +1,9 @@
 """Connected components of an edge table, by alternating large and small stars.
 
 Every round is a few joins and aggregations over edges, written to the shared folder; nothing but the count of changes
-comes to the driver. The result names each node that has an edge and the least node of its component.
+comes to the driver. Least neighbours are written before they are joined, so that both sides of each join come from exchanges and
+adaptive execution can split the edges of a node that has very many. The result names each node that has an edge and the
+least node of its component.
 """
 
 from __future__ import annotations
@@ -12,16 +14,16 @@ from pyspark.sql import functions as F
 from lamella.llm import common
 
 
-def _large(e: DataFrame) -> DataFrame:
+def _round(e: DataFrame) -> DataFrame:
+    """A large star, then a small star; the edges are written."""
     both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-
-
-def _small(e: DataFrame) -> DataFrame:
-    least = e.groupBy("u").agg(F.min("v").alias("m"))
-    moved = e.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
+    least = common.written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+    large = common.written(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-stars")
+    low = common.written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+    moved = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    out = common.written(moved.union(low.select("u", F.col("m").alias("v"))).distinct(), "small-stars")
+    common.drop(e, least, large, low)
+    return out
 
 
 def _mark(e: DataFrame):
@@ -33,7 +35,7 @@ def components(edges: DataFrame) -> DataFrame:
     e = common.written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     mark = _mark(e)
     while mark[0]:
-        e = common.written(_small(_large(e)), "stars")
+        e = _round(e)
         mark, before = _mark(e), mark
         if mark == before:
             break

@@ -9,8 +9,8 @@ at the threshold shares no key with a probability of at most MISS.
 2. Nodes that share a key are tied to the least node of that bucket. Connected ties form clusters: supersets of all
    candidate pairs, in which no pair of a bucket is ever written out.
 3. Sets are confirmed in full within clusters. A cluster that one task can hold is joined there. A larger one is dealt in
-   blocks: first all blocks against a few pivots, then only what is not yet linked to the largest component
-   against everything, block by block. No candidate is dropped.
+   blocks: first each block with a few pivots; then, in the buckets that still hold several components, what is outside
+   of the bucket's largest one against all of the bucket, block by block. No candidate is dropped.
 
 Results: null and empty texts, and texts without words, have no shingles and are linked with nothing. Fewer words than a
 shingle count as one shingle. Rows with the same doc_id count as one document. Rows without a doc_id are linked with
@@ -30,8 +30,9 @@ from lamella.llm import common
 from lamella.llm.components import components
 from lamella.llm.words import ODD, mix, shingle_sets
 
-WIDTH = 2
-MISS = 1e-6
+#: More hashes in a collection tie fewer documents that share a passage only, and need more tables.
+WIDTH = 3
+MISS = 3e-5
 #: Shingles of a cluster, or of each side of a pair of blocks, that one task holds.
 BLOCK = 2_000_000
 PIVOTS = 8
@@ -87,12 +88,19 @@ def signatures(docs: DataFrame, size: int, m: int, width: int = WIDTH) -> DataFr
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, " + ", ".join(f"{c} long" for c in names))
 
 
-def ties(nodes: DataFrame, m: int) -> DataFrame:
-    """u, v: every node of a bucket with the bucket's least node. A bucket of one node gives none."""
+def _keyed(nodes: DataFrame, m: int) -> DataFrame:
+    """doc_id and key: a row for each table."""
     pairs = [F.struct(F.xxhash64(F.lit(i * m + j), f"c{i}", f"c{j}").alias("key")) for i in range(m) for j in range(i + 1, m)]
-    keyed = nodes.select(F.col("doc_id").alias("u"), F.explode(F.array(*pairs)).alias("x")).select("u", "x.key")
-    least = keyed.groupBy("key").agg(F.min("u").alias("v"), F.max("u").alias("last")).where("v < last").select("key", "v")
-    return keyed.join(least, "key").where("u > v").select("u", "v").distinct()
+    return nodes.select("doc_id", F.explode(F.array(*pairs)).alias("x")).select("doc_id", "x.key")
+
+
+def ties(nodes: DataFrame, m: int) -> DataFrame:
+    """u, v: every node of a bucket with the bucket's least node, written. A bucket of one node gives none."""
+    keyed = _keyed(nodes, m)
+    least = common.written(keyed.groupBy("key").agg(F.min("doc_id").alias("v"), F.max("doc_id").alias("last")).where("v < last").select("key", "v"), "buckets")
+    out = common.written(keyed.join(least, "key").where("doc_id > v").select(F.col("doc_id").alias("u"), "v").distinct(), "ties")
+    common.drop(least)
+    return out
 
 
 def _linked(a: np.ndarray, b: np.ndarray, common_: np.ndarray, percent: int) -> np.ndarray:
@@ -180,7 +188,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, block: in
     rows = common.written(signatures(docs, size, m), "signatures")
     linkable = rows.where("set_key is not null and doc_id is not null")
     nodes = common.written(linkable.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n_shingles", *(f"c{k}" for k in range(m))))), "nodes")
-    clusters = components(ties(nodes, m))
+    tied = ties(nodes, m)
+    clusters = components(tied)
 
     weighed = clusters.join(nodes.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n")), "node")
     weights = weighed.groupBy("root").agg(F.ceil(F.sum("n") / block).cast("long").alias("blocks"))
@@ -189,42 +198,43 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, block: in
     edges = common.written(confirm(small, size, percent), "links")
     large = member.where("blocks > 1")
     if large.take(1):
-        edges = edges.union(_large_clusters(docs, large, size, percent, block))
+        edges = edges.union(_large_clusters(docs, nodes, large, m, size, percent, block))
     first = nodes.select("set_key", F.col("doc_id").alias("v"))
     same = linkable.join(first, "set_key").where("doc_id <> v").select(F.col("doc_id").alias("u"), "v").distinct()
-    return _labelled(rows, edges, same)
+    labels = common.written(components(edges.select("u", "v").union(same)), "labels")
+    common.drop(nodes, tied, member)
+    placed = rows.join(labels.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left")
+    return placed.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
 
 
-def _large_clusters(docs: DataFrame, large: DataFrame, size: int, percent: int, block: int) -> DataFrame:
-    """Links of clusters that no task could hold."""
-    spread = large.withColumn("blk", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+def _large_clusters(docs: DataFrame, nodes: DataFrame, large: DataFrame, m: int, size: int, percent: int, block: int) -> DataFrame:
+    """Links of clusters that no task could hold. large: doc_id, root, n (shingles), blocks."""
+    spread = large.select("doc_id", "root", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).alias("blk"))
     rank = F.xxhash64(F.lit(SEED), "doc_id")
     pivots = large.groupBy("root", "blocks", F.pmod(rank, F.lit(PIVOTS)).alias("k")).agg(F.min(F.struct(rank.alias("r"), "doc_id")).alias("p"))
-    pivots = pivots.select("p.doc_id", "root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("blk"))
-    first = spread.select("doc_id", "root", "blk").union(pivots).distinct()
-    one = common.written(confirm(_with_text(docs, first, "root", "blk"), size, percent), "links-pivots")
-    roots = components(one)
-    state = spread.join(roots.select(F.col("node").alias("doc_id"), F.col("root").alias("comp")), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
-    state = common.written(state, "large-state")
-    counts = state.groupBy("root", "comp").count()
-    largest = counts.groupBy("root").agg(F.max(F.struct("count", "comp")).alias("x")).select("root", F.col("x.comp").alias("top"))
-    open_ = common.written(state.join(largest, "root").where("comp <> top").select("doc_id", "root", "n", "blocks"), "large-open")
-    parts = open_.groupBy("root").agg(F.ceil(F.sum("n") / block).cast("long").alias("parts"))
-    left = open_.join(parts, "root").withColumn("part", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.col("parts")))
-    wide = left.select("doc_id", "root", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("blk"))
-    other = state.join(parts, "root").select("doc_id", "root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "blk")
-    two = confirm(_with_text(docs, wide.union(other).distinct(), "root", "part", "blk"), size, percent)
+    pivots = pivots.select("p.doc_id", "root", F.explode(_range("blocks")).alias("blk"))
+    one = common.written(confirm(_with_text(docs, spread.union(pivots).distinct(), "root", "blk"), size, percent), "links-pivots")
+
+    found = components(one).select(F.col("node").alias("doc_id"), F.col("root").alias("comp"))
+    state = common.written(large.select("doc_id", "n").join(found, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id")), "large-state")
+    keyed = common.written(_keyed(nodes, m).join(state, "doc_id"), "large-keyed")
+    open_ = keyed.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.ceil(F.sum("n") / block).alias("blocks")).where("a < b")
+    weight = keyed.groupBy("key", "comp").agg(F.sum("n").alias("w"))
+    top = weight.groupBy("key").agg(F.max(F.struct("w", "comp")).alias("x"), F.sum("w").alias("all")).select("key", F.col("x.comp").alias("top"), F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("x.w")) / block)).alias("parts"))
+    buckets = common.written(open_.join(top, "key").select("key", "blocks", "top", "parts"), "open-buckets")
+    members = common.written(keyed.join(buckets, "key"), "open-members")
+    left = members.where("comp <> top").select("doc_id", "key", F.pmod(F.xxhash64("doc_id"), F.col("parts")).alias("part"), F.explode(_range("blocks")).alias("blk"))
+    right = members.select("doc_id", "key", F.explode(_range("parts")).alias("part"), F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.col("blocks")).alias("blk"))
+    two = confirm(_with_text(docs, left.union(right).distinct(), "key", "part", "blk"), size, percent)
     return one.union(common.written(two, "links-blocks"))
 
 
-def _with_text(docs: DataFrame, dealt: DataFrame, *group: str) -> DataFrame:
-    return docs.join(dealt, "doc_id").select(F.xxhash64(*group).alias("grp"), "doc_id", "text")
+def _range(column: str):
+    return F.sequence(F.lit(0).cast("long"), F.col(column).cast("long") - 1)
 
 
-def _labelled(rows: DataFrame, edges: DataFrame, same: DataFrame) -> DataFrame:
-    labels = common.written(components(edges.select("u", "v").union(same)), "labels")
-    placed = rows.join(labels.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left")
-    return placed.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
+def _with_text(docs: DataFrame, dealt: DataFrame, *group: str) -> DataFrame:
+    return docs.join(dealt, "doc_id").select(F.xxhash64(*group).alias("grp"), "doc_id", "text")
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
