@@ -97,10 +97,11 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Model:
     def features(batches):
         for b in batches:
             x = matrix(statistics(b.column(1)))
-            yield pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64())), b.column(2), b.column(0)], names=["x", "y", "fold"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
 
-    sample = labelled(docs, labels, most).select(F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int").alias("fold"), "text", "quality")
-    rows = common.written(sample.mapInArrow(features, "x array<double>, y int, fold int"), "training").coalesce(8)
+    sample = labelled(docs, labels, most).select("doc_id", "text", "quality").mapInArrow(features, "doc_id long, y int, x array<double>")
+    each = sample.groupBy("doc_id", "y").agg(F.min("x").alias("x")).select("x", "y", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int").alias("fold"))
+    rows = common.written(each, "training").coalesce(8)
     d = len(RATIOS)
     moments = _collect_sums(rows, "moments", lambda x, y, f: np.r_[len(x), y.sum(), x.sum(0), (x * x).sum(0)])
     if np.isscalar(moments) or moments[1] in (0, moments[0]):

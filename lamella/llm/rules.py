@@ -109,7 +109,8 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, prunes: np.ndarray) -> list
 
 def learn_rules(docs: DataFrame, labels: DataFrame, most: int = MOST) -> list[Rule]:
     sample = with_statistics(labelled(docs, labels, most), counts=False)
-    rows = sample.select("doc_id", "quality", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(3)).alias("part"), *(F.col(sample.columns[-1])[k].alias(k) for k in RATIOS)).toPandas()
+    each = sample.groupBy("doc_id", "quality").agg(F.min(sample.columns[-1]).alias("s"))
+    rows = each.select("doc_id", "quality", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(3)).alias("part"), "s.*").toPandas()
     rows = rows.sort_values(list(rows.columns), kind="stable")
     return learn({k: rows[k].to_numpy(float) for k in RATIOS}, rows.quality.to_numpy() == 0, rows.part.to_numpy() == 0)
 

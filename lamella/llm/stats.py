@@ -136,7 +136,10 @@ def with_statistics(df: DataFrame, text_col: str = "text", counts: bool = True)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """doc_id, text and quality of at most `most` label rows, chosen by the hash of doc_id: a sample with a fixed bound, which is broadcast."""
+    """doc_id, text and quality of at most `most` label rows, chosen by the hash of doc_id: a sample with a fixed bound, which is broadcast.
+
+    Rows of docs that share a doc_id all come; learners keep one of them, that with the least statistics.
+    """
     from pyspark.sql import functions as F
 
     rows = labels.where("doc_id is not null and quality in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
