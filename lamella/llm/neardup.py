@@ -36,6 +36,8 @@ MISS = 3e-5
 #: Shingles of a cluster, or of each side of a pair of blocks, that one task holds.
 BLOCK = 2_000_000
 PIVOTS = 8
+#: Keys that a task makes, about.
+KEYS = 2_000_000
 SEED = 20_011
 
 
@@ -91,7 +93,9 @@ def signatures(docs: DataFrame, size: int, m: int, width: int = WIDTH) -> DataFr
 def _keyed(nodes: DataFrame, m: int) -> DataFrame:
     """doc_id and key: a row for each table."""
     pairs = [F.struct(F.xxhash64(F.lit(i * m + j), f"c{i}", f"c{j}").alias("key")) for i in range(m) for j in range(i + 1, m)]
-    return nodes.select("doc_id", F.explode(F.array(*pairs)).alias("x")).select("doc_id", "x.key")
+    spark = nodes.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), nodes.count() * len(pairs) // KEYS)
+    return nodes.repartition(parts).select("doc_id", F.explode(F.array(*pairs)).alias("x")).select("doc_id", "x.key")
 
 
 def ties(nodes: DataFrame, m: int) -> DataFrame:
