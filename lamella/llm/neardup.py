@@ -150,6 +150,7 @@ def _confirm(batches, size: int, percent: int):
     """Rows sorted by group: grp, doc_id, text. Gives each document with the least of its component in the group."""
     ids: list[int] = []
     sets: list[np.ndarray] = []
+    seen: set[tuple[int, bytes]] = set()  # rows that repeat are held once
     now = None
 
     def close():
@@ -166,8 +167,10 @@ def _confirm(batches, size: int, percent: int):
             if g != now:
                 if len(sets) > 1:
                     out.append(close())
-                now, ids, sets = g, [], []
-            if len(s):
+                now, ids, sets, seen = g, [], [], set()
+            key = (d, hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+            if len(s) and key not in seen:
+                seen.add(key)
                 ids.append(d)
                 sets.append(s)
         if out:
