@@ -23,6 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from lamella.llm import common
 from lamella.llm.words import plain_texts
 
 LEAF = 256
@@ -307,7 +308,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     def run(batches):
         c = codec(path)
-        for b in batches:
+        for b in common.lean(batches):
             ids, at = c.batch(b.column(1))
             flat = pa.array(ids.view(np.int32), pa.int32())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), flat), c.decode_batch(ids, at)], names=[id_col, "ids", "decoded"])

@@ -80,7 +80,7 @@ def _collect_sums(rows: DataFrame, name: str, part) -> np.ndarray:
 
     def run(batches):
         total = None
-        for b in batches:
+        for b in common.lean(batches):
             x = np.asarray(b.column(0).flatten(), np.float64).reshape(b.num_rows, len(RATIOS))
             s = part(x, b.column(1).to_numpy().astype(np.float64), b.column(2).to_numpy())
             total = s if total is None else total + s
@@ -95,7 +95,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Model:
     """Learns from the label rows given, or a sample of `most` of them."""
 
     def features(batches):
-        for b in batches:
+        for b in common.lean(batches):
             x = matrix(statistics(b.column(1)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
 
@@ -145,7 +145,7 @@ def with_score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
-        for b in batches:
+        for b in common.lean(batches):
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.score(matrix(statistics(b.column(at)))))], names=[*b.schema.names, name])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))

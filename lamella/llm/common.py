@@ -62,12 +62,21 @@ def drop(*tables: DataFrame) -> None:
 
 def tune(spark: SparkSession) -> None:
     """Arrow batches by bytes as well as rows, so that very long texts do not make a huge batch. What the user has set stays."""
-    for key, value, default in (("spark.sql.execution.arrow.maxRecordsPerBatch", "2000", "10000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "8388608", None)):
+    for key, value, default in (("spark.sql.execution.arrow.maxRecordsPerBatch", "1000", "10000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "4194304", None)):
         now = spark.conf.get(key, None)
         if now is None or now == default or (default is None and int(now) > 64 << 20):
             spark.conf.set(key, value)
 
 
+def lean(batches):
+    """Batches as they come; after each one Arrow gives memory that it holds in reserve back to the system."""
+    import pyarrow as pa
+
+    for b in batches:
+        yield b
+        pa.default_memory_pool().release_unused()
+
+
 def as_bytes(column) -> list:
     """UTF-8 bytes of an Arrow string column; null becomes empty."""
     import pyarrow as pa

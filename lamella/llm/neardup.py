@@ -78,7 +78,7 @@ def signatures(docs: DataFrame, size: int, m: int, width: int = WIDTH) -> DataFr
     names = [f"c{k}" for k in range(m)]
 
     def run(batches):
-        for b in batches:
+        for b in common.lean(batches):
             sets = shingle_sets(b.column(1), size)
             full = [k for k, s in enumerate(sets) if len(s)]
             keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
@@ -161,7 +161,7 @@ def _confirm(batches, size: int, percent: int):
         v = least[root]
         return pa.RecordBatch.from_arrays([pa.array(doc[doc != v]), pa.array(v[doc != v])], names=["u", "v"])
 
-    for b in batches:
+    for b in common.lean(batches):
         out = []
         for g, d, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), shingle_sets(b.column(2), size), strict=True):
             if g != now:

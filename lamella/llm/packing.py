@@ -70,7 +70,7 @@ def _pieces(batches, path: str, capacity: int, end: bytes):
     part, step = TaskContext.get().partitionId(), 4 * capacity
     docs: list = []
     rows: list[tuple[int, int, int, int, int]] = []
-    for b in batches:
+    for b in common.lean(batches):
         for raw in codec(path).id_bytes(b.column(1)):
             raw += end
             for k in range(0, len(raw), step):

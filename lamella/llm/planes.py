@@ -149,7 +149,7 @@ def write_ids(docs: DataFrame, path: str, end_id: int | None = None, bits: bool
 
         part = TaskContext.get().partitionId()
         writer, name, total = None, f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.planes", 0
-        for b in batches:
+        for b in common.lean(batches):
             if not b.num_rows:
                 continue
             if writer is None:
@@ -180,7 +180,7 @@ def read_ids(manifest: DataFrame) -> DataFrame:
         base += r.n_ids
 
     def run(batches):
-        for b in batches:
+        for b in common.lean(batches):
             for path, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 store, where = fs.FileSystem.from_uri(path)
                 with store.open_input_file(where) as source:

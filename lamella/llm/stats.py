@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from lamella.llm import common
 from lamella.llm.words import ODD, hash_strings, mix, plain_texts, split_words, windows
 
 WINDOW = 5
@@ -30,7 +31,12 @@ CLASS = _classes()
 
 
 def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    return np.diff(np.r_[0, np.cumsum(values, dtype=np.int64)][bounds])
+    """Sums between bounds, without an array of running sums."""
+    out = np.zeros(len(bounds) - 1, np.int64)
+    full = bounds[1:] > bounds[:-1]
+    if full.any():
+        out[full] = np.add.reduceat(values[: bounds[-1]], bounds[:-1][full], dtype=np.int64)
+    return out
 
 
 def _firsts(h: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,7 +131,7 @@ def with_statistics(df: DataFrame, text_col: str = "text", counts: bool = True)
     at = df.columns.index(text_col)
 
     def run(batches):
-        for b in batches:
+        for b in common.lean(batches):
             s = statistics(b.column(at))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.StructArray.from_arrays([pa.array(s[k]) for k in names], names=list(names))], names=[*b.schema.names, struct])
 

@@ -19,6 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lamella.llm import common
 from lamella.llm.words import split_words
 
 NONE = -1
@@ -98,7 +99,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             pieces = pieces_of(path)
             _counters[path] = Counter(pieces, pieces), {}
         counter, memo = _counters[path]
-        for b in batches:
+        for b in common.lean(batches):
             words, bounds = split_words(b.column(1))
             coded = pc.utf8_lower(words).dictionary_encode()
             distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
