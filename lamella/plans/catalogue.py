@@ -24,7 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def engine(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = TABLES, path: str | None = None) -> Engine:
     e = Engine(spark, path)
     for n in names:
-        e.catalog.attach(n, table(spark, sf_dir, n))
+        e.catalog.attach(n, lambda n=n: table(spark, sf_dir, n))
     return e
 
 
