@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 INT_MIN, INT_MAX = -(1 << 31), (1 << 31) - 1
-#: Codes that the field catalog shows.
+#: Codes that the field catalog shows.
 INTEGER_CODE, VARCHAR_CODE = 1, 2
 
 
