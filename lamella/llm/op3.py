@@ -1,4 +1,4 @@
-"""Query of operator 3: every text encoded and decoded, with digests of both."""
+"""Query of operator 3: every text encoded and decoded, with digests of both and the number of joins of its tree."""
 
 from __future__ import annotations
 
@@ -22,6 +22,7 @@ def digest(encoded: DataFrame) -> DataFrame:
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        "n_joins",
     )
 
 
