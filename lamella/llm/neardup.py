@@ -6,15 +6,26 @@ of 2*width hashes each, and L tables cost about the square root of the hashes. m
 at the threshold shares no key with a probability of at most MISS.
 
 1. Equal sets fall together first, so any number of exact copies is one node.
-2. Nodes that share a key are tied to the least node of that bucket. Connected ties form clusters: supersets of all
+2. A task makes the keys of some nodes at a time and ties those of them that share a key to the least of them. Only a
+   key's least node goes to the exchange, the one of this stage, where the least nodes of a key are tied to the least of
+   all. A key that very many nodes share therefore sends one row for each chunk. Connected ties form clusters: supersets of all
    candidate pairs, in which no pair of a bucket is ever written out.
-3. Sets are confirmed in full within clusters. A cluster that one task can hold is joined there. A larger one is dealt in
-   blocks: first each block with a few pivots; then, in the buckets that still hold several components, what is outside
-   of the bucket's largest one against all of the bucket, block by block. No candidate is dropped.
+3. Sets are confirmed in full within clusters. A cluster of more than a fair share of the shingles, or than one task can
+   hold, is dealt in blocks: first each block with a few pivots; then, in clusters that are still in several components,
+   the buckets that hold several, each set of buckets with the same members once: what is outside of the bucket's largest
+   component against all of the bucket, block by block. No candidate is dropped.
+4. Within a group, sets are compared with a pivot while that joins many of them; then those outside the largest component
+   only with sets with which they share one of their rarest shingles (prefix filter: of n shingles, one of the rarest
+   n - ceil(n * similarity) + 1 is shared by any two sets at the threshold). Sets that are not alike cost next to nothing.
+
+Shingles are compared by 64-bit hashes. Of k different shingles in two documents, two have the same hash with a chance of
+k^2 / 2^65: 3e-14 for two of 1,000 shingles; and one such shingle changes a link only at the threshold itself. Sets are
+equal if 128-bit digests are.
 
 Results: null and empty texts, and texts without words, have no shingles and are linked with nothing. Fewer words than a
-shingle count as one shingle. Rows with the same doc_id count as one document. Rows without a doc_id are linked with
-nothing and have no component.
+shingle count as one shingle. Rows with the same doc_id count as one document, linked by any of its texts. Rows without a
+doc_id are linked with nothing and have no component. Columns other than doc_id and text are not read. An empty table has
+no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +34,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamella.llm import common
@@ -33,11 +44,11 @@ from lamella.llm.words import ODD, mix, shingle_sets
 #: More hashes in a collection tie fewer documents that share a passage only, and need more tables.
 WIDTH = 3
 MISS = 3e-5
-#: Shingles of a cluster, or of each side of a pair of blocks, that one task holds.
-BLOCK = 2_000_000
+#: Shingles of a cluster, or of each side of a pair of blocks, that one task holds; and what is never dealt in blocks.
+BLOCK, LEAST_BLOCK = 2_000_000, 4_000
 PIVOTS = 8
-#: Keys that a task makes, about.
-KEYS = 2_000_000
+#: Keys that a task makes, about, and that it holds at once.
+KEYS, HELD = 2_000_000, 1_000_000
 SEED = 20_011
 
 
@@ -90,21 +101,65 @@ def signatures(docs: DataFrame, size: int, m: int, width: int = WIDTH) -> DataFr
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, " + ", ".join(f"{c} long" for c in names))
 
 
+def _pairs(m: int) -> list[tuple[int, int]]:
+    return [(i, j) for i in range(m) for j in range(i + 1, m)]
+
+
 def _keyed(nodes: DataFrame, m: int) -> DataFrame:
-    """doc_id and key: a row for each table."""
-    pairs = [F.struct(F.xxhash64(F.lit(i * m + j), f"c{i}", f"c{j}").alias("key")) for i in range(m) for j in range(i + 1, m)]
-    spark = nodes.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), nodes.count() * len(pairs) // KEYS)
-    return nodes.repartition(parts).select("doc_id", F.explode(F.array(*pairs)).alias("x")).select("doc_id", "x.key")
+    """All columns but the collections, and key: a row for each table."""
+    keys = F.array(*(F.xxhash64(F.lit(i * m + j), f"c{i}", f"c{j}") for i, j in _pairs(m)))
+    drawn = {f"c{k}" for k in range(m)}
+    return nodes.select(*(c for c in nodes.columns if c not in drawn), F.explode(keys).alias("key"))
+
+
+def _tied(doc: np.ndarray, keys: np.ndarray) -> list[pa.RecordBatch]:
+    """doc: ids; keys: a row for each. Each key with its least id, and every other id of the key with that one."""
+    by = np.argsort(doc, kind="stable")
+    doc, keys = doc[by], keys[by].ravel()
+    order = np.argsort(keys, kind="stable")
+    s, node = keys[order], order // (len(keys) // len(doc))
+    new = np.r_[True, s[1:] != s[:-1]]
+    least = node[new]
+    pair = np.unique(node[~new] * len(doc) + least[np.cumsum(new) - 1][~new])
+    u, v = doc[pair // len(doc)], doc[pair % len(doc)]
+    u, v = u[u != v], v[u != v]
+    out = [(s[new].view(np.int64), doc[least], None), (mix(u.view(np.uint64)).view(np.int64), u, v)]
+    return [
+        pa.RecordBatch.from_arrays([pa.array(k[a : a + 100_000]), pa.array(x[a : a + 100_000]), pa.nulls(len(x[a : a + 100_000]), pa.int64()) if y is None else pa.array(y[a : a + 100_000])], names=["key", "u", "v"])
+        for k, x, y in out
+        for a in range(0, len(x), 100_000)
+    ]
 
 
 def ties(nodes: DataFrame, m: int) -> DataFrame:
-    """u, v: every node of a bucket with the bucket's least node, written. A bucket of one node gives none."""
-    keyed = _keyed(nodes, m)
-    least = common.written(keyed.groupBy("key").agg(F.min("doc_id").alias("v"), F.max("doc_id").alias("last")).where("v < last").select("key", "v"), "buckets")
-    out = common.written(keyed.join(least, "key").where("doc_id > v").select(F.col("doc_id").alias("u"), "v").distinct(), "ties")
-    common.drop(least)
-    return out
+    """u, v: edges between nodes that share a key, such that all nodes of a bucket are connected; written."""
+    pairs = np.asarray(_pairs(m))
+    salt = mix(np.arange(1, len(pairs) + 1, dtype=np.uint64))
+
+    def run(batches):
+        doc, rows = [], 0
+        cols: list[np.ndarray] = []
+
+        def close():
+            with np.errstate(over="ignore"):
+                c = np.concatenate(cols)
+                return _tied(np.concatenate(doc), mix(mix(c[:, pairs[:, 0]] + salt) * ODD + c[:, pairs[:, 1]]))
+
+        for b in common.lean(batches):
+            doc.append(b.column(0).to_numpy())
+            cols.append(np.column_stack([b.column(k + 1).to_numpy().view(np.uint64) for k in range(m)]))
+            rows += b.num_rows
+            if rows * len(pairs) >= HELD:
+                yield from close()
+                doc, cols, rows = [], [], 0
+        if rows:
+            yield from close()
+
+    parts = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), nodes.count() * len(pairs) // KEYS)
+    keyed = nodes.select("doc_id", *(f"c{k}" for k in range(m))).repartition(parts).mapInArrow(run, "key long, u long, v long")
+    least = F.min("u").over(Window.partitionBy("key", F.col("v").isNotNull()))
+    found = keyed.select("u", F.coalesce("v", least).alias("v")).where("u > v").distinct()
+    return common.written(found, "ties")
 
 
 def _linked(a: np.ndarray, b: np.ndarray, common_: np.ndarray, percent: int) -> np.ndarray:
@@ -112,40 +167,76 @@ def _linked(a: np.ndarray, b: np.ndarray, common_: np.ndarray, percent: int) ->
 
 
 def links_within(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """The least index of each set's component under links of at least `percent` of the union. Exact.
-
-    Each set outside the largest component is compared with all at once; every pair of different components has
-    such a set, so no link between components is missed, and one pass is enough where all are linked.
-    """
+    """The least index of each set's component under links of at least `percent` of the union. Exact."""
     n = len(sets)
     size = np.asarray([len(s) for s in sets], np.int64)
-    root = np.arange(n)
     if n == 2:
         both = len(np.intersect1d(*sets, assume_unique=True))
-        return np.zeros(2, np.int64) if _linked(size[0], size[1], np.int64(both), percent) else root
-    values, ids = np.unique(np.concatenate(sets), return_inverse=True)
-    starts = np.r_[0, np.cumsum(size)[:-1]]
+        return np.zeros(2, np.int64) if _linked(size[0], size[1], np.int64(both), percent) else np.arange(2)
+    values, ids, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    starts = np.r_[0, np.cumsum(size)]
     mark = np.zeros(len(values), np.int32)
-    seen = np.zeros(n, bool)
-    turn, pivot = [int(np.argsort(size, kind="stable")[n // 2])], True
-    while turn:
-        x = turn.pop()
-        seen[x] = True
-        own = ids[starts[x] : starts[x] + size[x]]
+    root = np.arange(n)
+    # pivots, as long as each joins an eighth of the sets outside the largest component
+    rest = np.arange(n)
+    while len(rest) > 1:
+        x = int(rest[np.argsort(size[rest], kind="stable")[len(rest) // 2]])
+        own = ids[starts[x] : starts[x + 1]]
         mark[own] = 1
-        shared = np.add.reduceat(mark[ids], starts)
+        shared = np.add.reduceat(mark[ids], starts[:-1])
         mark[own] = 0
         hit = np.unique(root[_linked(size, size[x], shared, percent)])
-        if len(hit) > 1:
-            root[np.isin(root, hit)] = hit[0]
-        if pivot or not turn:
-            pivot = False
-            largest = np.bincount(root).argmax()
-            rest = np.flatnonzero((root != largest) & ~seen)
-            turn = rest[:1].tolist()
+        root[np.isin(root, hit)] = hit[0]
+        before = len(rest)
+        rest = np.flatnonzero(root != np.bincount(root).argmax())
+        if before - len(rest) < max(2, before // 8):
+            break
+    if len(rest):
+        _link_rest(rest, root, ids, often, starts, size, percent)
     return root
 
 
+def _link_rest(rest: np.ndarray, root: np.ndarray, ids: np.ndarray, often: np.ndarray, starts: np.ndarray, size: np.ndarray, percent: int) -> None:
+    """Compares the sets in rest with all that share one of their rarest shingles, and makes root the least of each component."""
+    n = len(size)
+    owner = np.repeat(np.arange(n), size)
+    rank = np.argsort(np.argsort(often, kind="stable"), kind="stable")
+    order = np.lexsort((rank[ids], owner))
+    prefix = size - -(-percent * size // 100) + 1
+    kept = order[np.arange(len(order)) - starts[:-1][owner] < prefix[owner]]  # order keeps the owners' places
+    kept = kept[often[ids[kept]] > 1]
+    kept = kept[np.argsort(ids[kept], kind="stable")]
+    shingle, who = ids[kept], owner[kept]
+    lists = np.searchsorted(shingle, np.arange(len(often) + 1))
+    by_owner = np.argsort(who, kind="stable")
+    mine = np.searchsorted(who[by_owner], np.arange(n + 1))
+    mark = np.zeros(len(often), np.int32)
+    up = root.tolist()
+
+    def find(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for y in rest.tolist():
+        own = shingle[by_owner[mine[y] : mine[y + 1]]]
+        near = np.unique(np.concatenate([who[lists[k] : lists[k + 1]] for k in own])) if len(own) else own
+        near = near[(100 * np.minimum(size[near], size[y]) >= percent * np.maximum(size[near], size[y])) & (near != y)]
+        mine_now = find(y)
+        near = np.asarray([x for x in near.tolist() if find(x) != mine_now], np.int64)
+        if not len(near):
+            continue
+        mark[ids[starts[y] : starts[y + 1]]] = 1
+        at = np.r_[0, np.cumsum(size[near])]
+        shared = np.add.reduceat(mark[ids[np.repeat(starts[near] - at[:-1], size[near]) + np.arange(at[-1])]], at[:-1])
+        mark[ids[starts[y] : starts[y + 1]]] = 0
+        for x in near[_linked(size[near], size[y], shared, percent)].tolist():
+            a, b = sorted((find(x), find(y)))
+            up[b] = a
+    root[:] = [find(x) for x in range(n)]
+
+
 def _confirm(batches, size: int, percent: int):
     """Rows sorted by group: grp, doc_id, text. Gives each document with the least of its component in the group."""
     ids: list[int] = []
@@ -198,9 +289,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, block: in
     tied = ties(nodes, m)
     clusters = components(tied)
 
-    weighed = clusters.join(nodes.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n")), "node")
+    weighed = common.written(clusters.join(nodes.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n")), "node"), "weighed")
+    share = (weighed.agg(F.sum("n")).first()[0] or 0) // int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    block = min(block, max(LEAST_BLOCK, share))
     weights = weighed.groupBy("root").agg(F.ceil(F.sum("n") / block).cast("long").alias("blocks"))
     member = common.written(weighed.join(weights, "root").select(F.col("node").alias("doc_id"), "root", "n", "blocks"), "members")
+    common.drop(weighed)
     small = docs.join(member.where("blocks = 1"), "doc_id").select(F.col("root").alias("grp"), "doc_id", "text")
     edges = common.written(confirm(small, size, percent), "links")
     large = member.where("blocks > 1")
@@ -223,9 +317,15 @@ def _large_clusters(docs: DataFrame, nodes: DataFrame, large: DataFrame, m: int,
     one = common.written(confirm(_with_text(docs, spread.union(pivots).distinct(), "root", "blk"), size, percent), "links-pivots")
 
     found = components(one).select(F.col("node").alias("doc_id"), F.col("root").alias("comp"))
-    state = common.written(large.select("doc_id", "n").join(found, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id")), "large-state")
-    keyed = common.written(_keyed(nodes, m).join(state, "doc_id"), "large-keyed")
-    open_ = keyed.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.ceil(F.sum("n") / block).alias("blocks")).where("a < b")
+    state = common.written(large.select("doc_id", "root", "n").join(found, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id")), "large-state")
+    several = state.groupBy("root").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("root")
+    if not several.take(1):
+        return one
+    state = state.join(several, "root").select("doc_id", "n", "comp")
+    keyed = common.written(_keyed(nodes.drop("set_key", "n_shingles").join(state, "doc_id"), m), "large-keyed")
+    same = (F.count("*").alias("size"), *(F.sum(F.xxhash64(F.lit(k), "doc_id").cast("decimal(38,0)")).alias(f"h{k}") for k in range(2)))
+    each = keyed.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.ceil(F.sum("n") / block).alias("blocks"), *same).where("a < b")
+    open_ = each.groupBy("size", "h0", "h1").agg(F.min("key").alias("key"), F.first("blocks").alias("blocks"))
     weight = keyed.groupBy("key", "comp").agg(F.sum("n").alias("w"))
     top = weight.groupBy("key").agg(F.max(F.struct("w", "comp")).alias("x"), F.sum("w").alias("all")).select("key", F.col("x.comp").alias("top"), F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("x.w")) / block)).alias("parts"))
     buckets = common.written(open_.join(top, "key").select("key", "blocks", "top", "parts"), "open-buckets")
@@ -245,11 +345,16 @@ def _with_text(docs: DataFrame, dealt: DataFrame, *group: str) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs of which one document of each class stays: that with the least doc_id. Repeated rows stay once."""
+    """The rows of docs of which one document of each class stays: that with the least doc_id.
+
+    Of rows with that doc_id, one stays: that with the least text, and of these that with the least hash of all columns.
+    """
     classes = near_duplicates(docs, size, percent)
     kept = classes.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
     kept = common.written(kept, "kept")
-    out = docs.join(kept.where("n = 1").select("doc_id"), "doc_id", "left_semi")
+    out = docs.join(kept.where("n = 1").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
     if kept.where("n > 1").take(1):
-        out = out.union(docs.join(kept.where("n > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return out.union(docs.where("doc_id is null")).select(docs.columns)
+        again = docs.join(kept.where("n > 1").select("doc_id"), "doc_id", "left_semi")
+        first = again.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct("text", F.xxhash64(*docs.columns))).alias("row"))
+        out = out.union(first.select("row.*"))
+    return out.union(docs.where("doc_id is null"))
