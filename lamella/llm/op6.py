@@ -1,4 +1,7 @@
-"""Query of operator 6: all conversations formatted, and what is read back from the formatted text."""
+"""Query of operator 6: all conversations formatted, and what is read back from the formatted text.
+
+Two rows are planted as conversation -1. In a table that has a conversation -1 they are turns 0 and 1 of it.
+"""
 
 from __future__ import annotations
 
@@ -30,17 +33,19 @@ from sized group by conv_id
 
 
 class Digest:
-    """Of one conversation; parts come in order."""
+    """Of one conversation; parts come in order, and nothing longer than a part is held."""
 
     def __init__(self):
         self.turns, self.loss, self.n, self.loss_chars, self.chars = hashlib.sha256(), hashlib.sha256(), 0, 0, 0
+        self.reader = chat.Reader()
 
     def add(self, formatted: str, starts: list[int], ends: list[int]) -> None:
         self.chars += len(formatted)
-        for role, text in chat.parse(formatted):
-            self.turns.update(f"{role}\n{text}\n".encode())
-            self.n += 1
-        raw = formatted.encode()
+        for what, piece in self.reader.read(formatted):
+            if what == "turn":
+                self.n += 1
+            self.turns.update(piece.encode() if what in ("role", "text") else b"\n")
+        raw = formatted.encode() if starts else b""
         for a, b in zip(starts, ends, strict=True):
             text = chat.unescape(raw[a:b].decode())
             self.loss_chars += len(text)

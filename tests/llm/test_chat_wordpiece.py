@@ -1,6 +1,11 @@
 import hashlib
+import os
 import random
+import subprocess
+import sys
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import types as T
 
@@ -61,6 +66,46 @@ def test_parts_across_batches(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
 
 
+def test_cuts_keep_characters_and_control_strings():
+    r = random.Random(4)
+    for _ in range(300):
+        text = "".join(r.choice(["</s>", "[INST]", "é", "日", "a", "<", "[/INST]", "\\", "<s>", "/"]) for _ in range(r.randrange(0, 30)))
+        raw = text.encode()
+        for limit in (1, 5, 9):
+            cuts = chat._cuts(np.frombuffer(raw, np.uint8), limit)
+            pieces = [raw[a:b].decode() for a, b in zip(cuts, cuts[1:], strict=False)]
+            whole, parts = (chat.escape(pa.array(x)).to_pylist() for x in ([text], pieces or [""]))
+            assert "".join(parts) == whole[0]
+
+
+def test_a_turn_of_256_megabytes_in_a_worker_of_one_gigabyte():
+    code = """
+import resource, sys, hashlib, numpy as np, pyarrow as pa
+from lamella.llm import chat, op6
+n = 256 << 20
+data = np.full(n, ord("a"), np.uint8)
+data[::1000003] = ord("[")
+data[5 : 5 + 4 << 20 : 4 << 20] = ord("<")
+buffer = pa.py_buffer(data)
+text = pa.Array.from_buffers(pa.large_string(), 1, [None, pa.array([0, n]).buffers()[1], buffer])
+batch = pa.RecordBatch.from_arrays([pa.array([3]), pa.array(["assistant"]), text], names=["conv_id", "role", "text"])
+rows = list(op6.read_back(chat._format(iter([batch]), chat.PART)))
+r = rows[0].to_pylist()[0]
+assert r["n_turns"] == 1 and r["loss_chars"] == n and r["loss_sha256"] == hashlib.sha256(data).hexdigest()
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=600, cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+    assert out.returncode == 0, out.stderr
+    assert int(out.stdout.split()[-1]) < 1000
+
+
+def test_a_conversation_minus_one_of_the_table(spark, tmp_path):
+    rows = [(-1, 2, "user", "more", 1), (-1, 0, "assistant", "first", 1)]
+    spark.createDataFrame(rows, CONV).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = op6.op6_chat(spark, str(tmp_path)).collect()
+    assert [tuple(r)[:5] for r in got] == brute(rows + op6.PLANTED)
+
+
 def test_no_conversations(spark, tmp_path):
     spark.createDataFrame([], CONV).write.parquet(f"{tmp_path}/conversations.parquet")
     assert [r.conv_id for r in op6.op6_chat(spark, str(tmp_path)).collect()] == [-1]
