@@ -4,10 +4,12 @@ Rows are ordered by (hash of the text, doc_id), so equal texts lie side by side.
 ("probes"); each round the executors count exact bytes and rows between neighbouring probes, and the interval around
 every wanted splitter narrows until a boundary meets the tolerance or only one key is left in it. Probes lie between
 groups of equal texts first; inside a group only where the group alone is too large for the tolerance. The rows are then
-exchanged once, to ranges that are parts of shards, and the counts give each range its first slot.
+exchanged once, to ranges that are parts of shards, and the counts give each range its first slot. A range has RANGE bytes
+or less, whatever the size of the input, and is a task of its own.
 
-Results: null texts count as empty. Null doc_ids come first within their text. Repeated rows share a key and stay
-together. A table with fewer rows than shards leaves shards empty; an empty table has no rows.
+Results: null texts count as empty and are one group with empty ones. Null doc_ids come first within their text. Repeated
+rows share a key and stay together. A row that is larger than a range is one. A table with fewer rows than shards leaves
+shards empty; an empty table has no rows. Columns of docs named shard or slot are renamed: _in is added until the name is free.
 """
 
 from __future__ import annotations
@@ -24,10 +26,13 @@ from pyspark.sql import functions as F
 from lamella.llm import common
 
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
-PROBES = 16
+#: For each open boundary and round: of shards, and within them.
+PROBES, INNER_PROBES = 16, 4
 #: Of a shard's bytes for boundaries of shards, of a range's bytes for boundaries within them.
-TOLERANCE, INNER = 0.004, 0.1
+TOLERANCE, INNER = 0.004, 0.25
 OVERHEAD = 16
+#: Bytes of a range, about.
+RANGE = 128 << 20
 
 Key = tuple[int, int]
 
@@ -88,7 +93,8 @@ def splitters(keys: DataFrame, parts: int, shard_every: int) -> list[Key]:
     while any(c is None for c in chosen):
         open_ = [j for j, c in enumerate(chosen) if c is None]
         sharing = Counter(span[j] for j in open_)
-        grid = sorted({k for (lo, hi), n in sharing.items() for k in between(lo, hi, PROBES * n)})
+        coarse = {span[j] for j in open_ if j % shard_every != shard_every - 1}
+        grid = sorted({k for (lo, hi), n in sharing.items() for k in between(lo, hi, (INNER_PROBES if (lo, hi) in coarse and n > 1 else PROBES) * n)})
         found = count_between(keys, grid) if grid else {}
         below = list(accumulate(found.get(k, (0,))[0] for k in range(len(grid))))
         ends.update(zip(grid, below, strict=True))
@@ -113,12 +119,17 @@ def splitters(keys: DataFrame, parts: int, shard_every: int) -> list[Key]:
     return sorted(chosen)
 
 
+def ranges_in_shard(total: int, shards: int, partitions: int) -> int:
+    """Into how many ranges a shard is cut: for RANGE bytes each, and for about as many ranges as shuffle partitions."""
+    return max(1, -(-partitions // shards), -(-total // (shards * RANGE)))
+
+
 def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of docs, with shard and slot. Shards have near equal bytes, OVERHEAD a row included."""
     spark = docs.sparkSession
-    h, s = F.xxhash64(F.col(text_col)), F.coalesce(F.col(id_col).cast("long"), F.lit(LOW))
+    h, s = F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), F.coalesce(F.col(id_col).cast("long"), F.lit(LOW))
     keys = common.written(docs.select(h.alias("h"), s.alias("s"), row_bytes(F.col(text_col)).alias("size")), "shard-keys")
-    each = max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // shards))
+    each = ranges_in_shard(keys.agg(F.sum("size")).first()[0] or 0, shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
     cuts = splitters(keys, shards * each, each)
     counts = count_between(keys, cuts)
     first, at = [], 0
@@ -127,10 +138,17 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
         first.append(at)
         at += counts.get(part, (0, 0))[1]
     inner = docs.select(F.struct("*").alias("row"), h.alias("h"), s.alias("s")).withColumn("part", interval_udf(cuts)("h", "s"))
-    placed = inner.withColumn("n", F.row_number().over(Window.partitionBy("part").orderBy("h", "s")))
-    taken = {c.lower() for c in docs.columns} & {"shard", "slot"}
+    dealt = inner.repartitionById(shards * each, "part")
+    placed = dealt.withColumn("n", F.row_number().over(Window.partitionBy("part").orderBy("h", "s")))
+    names, taken = [], {"shard", "slot"} | {c.lower() for c in docs.columns}
+    for c in docs.columns:
+        name = c
+        while c.lower() in ("shard", "slot") and name.lower() in taken:
+            name += "_in"
+        taken.add(name.lower())
+        names.append(name)
     return placed.select(
-        *[F.col("row")[c].alias(f"{c}_in" if c.lower() in taken else c) for c in docs.columns],
+        *[F.col("row")[c].alias(name) for c, name in zip(docs.columns, names, strict=True)],
         F.floor(F.col("part") / each).cast("int").alias("shard"),
         (F.col("n") - 1 + F.element_at(F.lit(first), F.col("part") + 1)).cast("long").alias("slot"),
     )

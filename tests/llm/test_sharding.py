@@ -51,3 +51,40 @@ def test_groups_stay_together_where_they_fit(spark):
     got = sharding.shard(docs, 4)
     assert got.columns == ["doc_id", "text", "shard_in", "shard", "slot"]
     assert got.groupBy("text").agg(F.countDistinct("shard").alias("n")).where("n > 1").count() == 0
+
+
+def test_names_that_clash_and_null_with_empty(spark):
+    rows = [(k, None if k % 2 else "", "a", "b", "c", "d") for k in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard string, shard_in string, slot string, Slot_In string")
+    got = sharding.shard(docs, 2)
+    assert got.columns == ["doc_id", "text", "shard_in_in", "shard_in", "slot_in_in", "Slot_In", "shard", "slot"]
+    row = got.first()
+    assert (row.shard_in_in, row.shard_in, row.slot_in_in, row.Slot_In) == ("a", "b", "c", "d")
+    ordered = [r.doc_id for r in got.orderBy("shard", "slot").collect()]
+    assert ordered == list(range(50))  # one group, in order of doc_id
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_ranges_hold_at_any_input(spark, hot):
+    """200 GB and 100 TB of rows of 4 MB in sizes alone; a third of them may share a text."""
+    for rows, size in ((50_000, 4 << 20), (200_000, 512 << 20)):
+        h = F.when((F.col("id") % 3 == 0) & F.lit(hot), F.lit(5)).otherwise(F.xxhash64("id"))
+        keys = spark.range(rows).select(h.alias("h"), F.col("id").alias("s"), F.lit(size).cast("long").alias("size")).cache()
+        total = rows * size
+        shards = 40 if size < 1 << 28 else 4000
+        each = sharding.ranges_in_shard(total, shards, 8) if size < 1 << 28 else 1
+        cuts = sharding.splitters(keys, shards * each, each)
+        most = max(r[0] for r in sharding.count_between(keys, cuts).values())
+        if size < 1 << 28:
+            assert each >= total // (shards * sharding.RANGE) and most <= 256 << 20
+        else:
+            assert most <= 1.02 * total / shards + size
+        keys.unpersist()
+
+
+def test_each_range_is_a_task(spark):
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(500)], "doc_id long, text string")
+    plan = sharding.shard(docs, 10)
+    assert plan.rdd.getNumPartitions() in (10, 1)
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in text and "hashpartitioning" not in text
