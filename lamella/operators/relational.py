@@ -11,6 +11,7 @@ from lamella.functions.kinds import compare, family
 from lamella.plans.ast import Predicate
 from lamella.plans.lower import condition
 from lamella.plans.parser import parse_predicate
+from lamella.sources.indexes import BUCKET, Indexed
 
 
 def project(df: DataFrame, fields: list[str]) -> DataFrame:
@@ -50,14 +51,41 @@ def merge_join(left: DataFrame, right: DataFrame, left_field: str, right_field:
     return a.join(b.hint("merge"), _equal(left, right, left_field, right_field)).select(*out)
 
 
-def index_join(left: DataFrame, right: DataFrame, left_field: str, right_field: str) -> DataFrame:
+def index_join(left: DataFrame, right: DataFrame | Indexed, left_field: str, right_field: str | None = None) -> DataFrame:
     """Inner equi-join by lookups in the right side. The right name wins.
 
-    The lookup table is a hash table of the right side: of all of it where Spark finds it small enough to send to
-    everyone, else of one partition at a time.
+    Of an Indexed right side, a hash index is joined bucket by bucket: where the left side is selective, Spark finds the
+    buckets of its keys first and reads only those (dynamic pruning). Without an index, the lookup table is a hash table
+    of the right side: of all of it where Spark finds it small enough to send to everyone, else of one partition at a time.
     """
-    a, b, out = _apart(left, right, "right")
-    return a.join(b.hint("shuffle_hash") if _large(right) else b, _equal(left, right, left_field, right_field)).select(*out)
+    if not isinstance(right, Indexed):
+        a, b, out = _apart(left, right, "right")
+        return a.join(b.hint("shuffle_hash") if _large(right) else b, _equal(left, right, left_field, right_field)).select(*out)
+    field = right.index.field
+    if right_field is not None and right_field.lower() != field.lower():
+        raise ValueError(f"the index is on {field}, not on {right_field}")
+    rows = right.rows()
+    plain = rows.select(*right.columns)
+    a, _, out = _apart(left, plain, "right")
+    b = rows.select(*(F.col(f"`{c}`").alias(f"r{k}") for k, c in enumerate(right.columns)), *((F.col(BUCKET),) if right.index.kind == "hash" else ()))
+    on = _equal(left, plain, left_field, field)
+    if right.index.kind == "hash":
+        own = F.col(f"l{[c.lower() for c in left.columns].index(left_field.lower())}")
+        on = on & (F.col(BUCKET) == right.bucket(own))
+    return a.join(b, on).select(*out)
+
+
+def block_product(left: DataFrame, right: DataFrame, rows: int = 100_000) -> DataFrame:
+    """Every pair of rows, the right side in blocks of about so many rows.
+
+    Each left row goes to every block, and a block's rows are held as one table in memory; so what a task holds of the
+    right side has a bound, and blocks are tasks of their own. Of two columns of one name the left one is seen.
+    """
+    a, b, out = _apart(left, right)
+    blocks = max(1, -(-b.count() // rows))
+    dealt = b.withColumn("block", F.pmod(F.monotonically_increasing_id(), F.lit(blocks)))
+    each = a.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    return each.join(dealt.hint("shuffle_hash"), "block").select(*out)
 
 
 def _large(df: DataFrame) -> bool:
@@ -94,5 +122,12 @@ def sort(df: DataFrame, fields: list[str]) -> DataFrame:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """The same rows, kept for reading more than once: in memory, on disk where that is short, made again where lost."""
+    """The same rows, kept for reading more than once: in memory, on disk where that is short, made again where lost.
+
+    `release` gives the memory back.
+    """
     return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def release(df: DataFrame) -> None:
+    df.unpersist()

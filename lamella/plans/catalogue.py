@@ -96,6 +96,7 @@ def _reordered(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["join_order_greedy"], ORACLE["join_order_greedy"] = _reordered, ORACLE["implicit_join_four"]
 
 # views
+dialect("view_of_its_own_name", "select n_name from nation", "select n_name from nation where n_regionkey = 3", ("create view nation as select n_name, n_regionkey from nation where n_regionkey = 3",))
 _ASIA = "create view some_nations as select n_nationkey, n_name, n_regionkey from nation where n_regionkey = 2"
 dialect("view_simple", "select n_name from some_nations", "select n_name from nation where n_regionkey = 2", (_ASIA,))
 dialect("view_nested", "select n_name from narrow where n_nationkey > 5", "select n_name from nation where n_regionkey = 2 and n_nationkey > 5", (_ASIA, "create view narrow as select n_nationkey, n_name from some_nations"))
@@ -125,6 +126,11 @@ def _(supplier, region):
     return R.project(R.product(supplier, region), ["s_name", "r_name"])
 
 
+@operator("block_product", "select s_suppkey, n_name from supplier, nation", "supplier", "nation")
+def _(supplier, nation):
+    return R.project(R.block_product(supplier, nation, 7), ["s_suppkey", "n_name"])
+
+
 @operator("materialize_reuse", "select a.o_orderkey as first_key, b.o_orderkey as second_key from orders a join orders b on a.o_custkey = b.o_custkey where a.o_orderstatus = 'P' and b.o_orderstatus = 'P' and a.o_orderkey < b.o_orderkey", "orders")
 def _(orders):
     some = R.materialize(R.project(R.select_rows(orders, "o_orderstatus = 'P'"), ["o_orderkey", "o_custkey"]))
@@ -196,8 +202,7 @@ def managed(spark: SparkSession, sf_dir: str, indexes: tuple[str, ...] = ()) ->
     rows = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     t, v = e.catalog.table("nat"), e.catalog.version("nat")
     for part in (F.col("n_nationkey") < 10, F.col("n_nationkey") >= 10):
-        v = t.insert(v, rows.where(part).coalesce(1))
-        t.publish(v)
+        v = t.publish(t.insert(v, rows.where(part).coalesce(1)))
     for i in indexes:
         e.execute(i)
     return e
@@ -232,19 +237,45 @@ command("index_update_state", ("update nat set n_name = 'ONE' where n_regionkey
 command("index_delete_state", ("delete from nat where n_regionkey = 1 and n_nationkey > 3",), _DELETED, (_HASH,))
 
 
+def _orders(spark: SparkSession, sf_dir: str, kind: str) -> Engine:
+    """A managed copy of orders with an index on the customer, and nation and customer attached."""
+    e = Engine(spark, _folder(spark))
+    for n in ("customer", "nation"):
+        e.catalog.attach(n, lambda n=n: table(spark, sf_dir, n))
+    e.execute("create table ord (o_orderkey int, o_custkey int, o_orderstatus varchar(1))")
+    t, v = e.catalog.table("ord"), e.catalog.version("ord")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("int"), F.col("o_custkey").cast("int"), "o_orderstatus")
+    t.publish(t.insert(v, rows))
+    e.execute(f"create index by_customer on ord (o_custkey) using {kind}")
+    return e
+
+
 def _index_select(kind: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        e = Engine(spark, _folder(spark))
-        e.execute("create table ord (o_orderkey int, o_custkey int, o_orderstatus varchar(1))")
-        t, v = e.catalog.table("ord"), e.catalog.version("ord")
-        rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("int"), F.col("o_custkey").cast("int"), "o_orderstatus")
-        t.publish(t.insert(v, rows))
-        e.execute(f"create index by_customer on ord (o_custkey) using {kind}")
-        return e.catalog.index_on("ord", "o_custkey").lookup(spark, t, e.catalog.version("ord"), 37)
+        return _orders(spark, sf_dir, kind).begin().indexed("ord", "o_custkey").lookup(37)
 
     return run
 
 
+def _index_sql(sql: str, kind: str = "hash"):
+    return lambda spark, sf_dir: _orders(spark, sf_dir, kind).query(sql)
+
+
+_BY_CUSTOMER = "select o_orderkey, o_orderstatus from ord where o_custkey = 37 and o_orderstatus <> 'P'"
+_OF_BUILDERS = "select c_name, o_orderkey from customer, ord where c_custkey = o_custkey and c_nationkey = 7"
+for _name, _sql, _kind in (("index_select_sql", _BY_CUSTOMER, "hash"), ("index_select_sql_btree", _BY_CUSTOMER, "btree"), ("index_join_sql", _OF_BUILDERS, "hash")):
+    QUERIES[_name], ORACLE[_name] = _index_sql(_sql, _kind), _sql.replace(" ord", " orders")
+
+
+def _index_join_operator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _orders(spark, sf_dir, "hash")
+    some = R.select_rows(table(spark, sf_dir, "customer"), "c_nationkey = 7")
+    return R.project(R.index_join(some, e.begin().indexed("ord", "o_custkey"), "c_custkey"), ["c_name", "o_orderkey"])
+
+
+QUERIES["index_join_lookup"], ORACLE["index_join_lookup"] = _index_join_operator, ORACLE["index_join_sql"]
+
+
 for _kind in ("hash", "btree"):
     QUERIES[f"index_select_{_kind}"] = _index_select(_kind)
     ORACLE[f"index_select_{_kind}"] = "select o_orderkey, o_custkey, o_orderstatus from orders where o_custkey = 37"
@@ -270,13 +301,46 @@ def _catalog_indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stats_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = [table(spark, sf_dir, n).agg(F.count("*").alias("n_rows")).select(F.lit(n).alias("table_name"), "n_rows") for n in TABLES]
-    total = out[0]
-    for o in out[1:]:
-        total = total.unionAll(o)
-    return total
+    """Counted once each and kept; the second call of each reads nothing."""
+    c = engine(spark, sf_dir).catalog
+    for n in TABLES:
+        c.statistics(n, columns=False)
+    return spark.createDataFrame([(n, c.statistics(n, columns=False)["rows"]) for n in TABLES], "table_name string, n_rows long")
+
 
+def _stats_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a managed table: exact counts, before and after a command that makes another version."""
+    e = managed(spark, sf_dir)
+    out = [("before", c, n) for c, n in e.catalog.statistics("nat", approximate=False)["distinct"].items()]
+    e.execute("update nat set n_regionkey = 0 where n_regionkey < 3")
+    out += [("after", c, n) for c, n in e.catalog.statistics("nat", approximate=False)["distinct"].items()]
+    return spark.createDataFrame(out, "at string, field string, n_distinct long")
 
+
+def _two_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A transaction over two tables that commits, and one that conflicts in the second and leaves nothing in the first."""
+    from lamella.sources.log import Conflict
+
+    e = managed(spark, sf_dir)
+    e.execute("create table reg (r_regionkey int, r_name varchar(25))")
+    done, late = e.begin(), e.begin()
+    for t, key in ((done, 200), (late, 300)):
+        t.execute(f"insert into nat (n_nationkey, n_name, n_regionkey) values ({key}, 'BOTH', 9)") if t is done else t.execute("create table other (a int)")
+        t.execute(f"insert into reg (r_regionkey, r_name) values ({key}, 'BOTH')")
+    late.execute("insert into other (a) values (1)")
+    done.commit()
+    try:
+        late.commit()
+    except Conflict:
+        pass
+    return e.query("select n_nationkey as k, n_name as name from nat where n_nationkey >= 200").unionAll(e.query("select r_regionkey as k, r_name as name from reg")).unionAll(e.query("select a as k, 'other' as name from other"))
+
+
+QUERIES |= {"stats_distinct": _stats_distinct, "two_table_commit_state": _two_tables}
+ORACLE |= {
+    "stats_distinct": " union all ".join(f"select '{at}' as at, '{c}' as field, count(distinct {x}) as n_distinct from nation" for at, r in (("before", "n_regionkey"), ("after", "case when n_regionkey < 3 then 0 else n_regionkey end")) for c, x in (("n_nationkey", "n_nationkey"), ("n_name", "n_name"), ("n_regionkey", r))),
+    "two_table_commit_state": "select 200 as k, 'BOTH' as name union all select 200, 'BOTH'",
+}
 QUERIES |= {"catalog_tables": _catalog_tables, "catalog_fields": _catalog_fields, "catalog_views": _catalog_views, "catalog_indexes": _catalog_indexes, "stats_counts": _stats_counts}
 ORACLE |= {
     "catalog_tables": "select 'nat' as tblname, 53 as slotsize",

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamella.functions.kinds import compare, family
-from lamella.plans.ast import And, Compare, Const, Expr, Field, Or, Predicate, Select, TableRef
+from lamella.plans.ast import And, Compare, Const, Expr, Field, Or, Predicate, Select, TableRef, conjuncts
 
 
 class Unresolved(ValueError):
@@ -78,16 +78,76 @@ class Scope:
         return out
 
 
-def lower(query: Select, relations: Relations) -> DataFrame:
-    sources = [source(t, k, relations) for k, t in enumerate(query.tables)]
-    frame = reduce(lambda a, b: a.crossJoin(b), (s.frame for s in sources))
-    for j in query.joins:
-        s = source(j.ref, len(sources), relations)
-        sources.append(s)
-        frame = frame.join(s.frame, Scope(sources).predicate(j.on), j.kind)
+#: Rows of a table whose field equals a constant, or None where no index helps.
+Lookup = Callable[[str, str, int | str], DataFrame | None]
+#: Rows of a table with a column of buckets, its name, and the bucket of a key; or None where no index helps.
+Probe = Callable[[str, str], tuple[DataFrame, str, Callable[[Column], Column]] | None]
+
+
+@dataclass(frozen=True)
+class Access:
+    """Ways to read a table by an indexed field."""
+
+    lookup: Lookup
+    probe: Probe
+
+
+def _equated(terms: list[Predicate], scope: Scope) -> tuple[list, list]:
+    """Equalities of fields: with constants (own name, value) and with fields (own names); each counts once."""
+    constants, fields = [], []
+    for t in terms:
+        if not isinstance(t, Compare) or t.op != "=":
+            continue
+        found = [scope.find(x)[1] if isinstance(x, Field) else x.value for x in (t.left, t.right)]
+        are = [isinstance(x, Field) for x in (t.left, t.right)]
+        if all(are):
+            fields.append(tuple(found))
+        elif any(are):
+            constants.append(tuple(found) if are[0] else (found[1], found[0]))
+    return list(dict.fromkeys(constants)), list(dict.fromkeys(fields))
+
+
+def _indexed(query: Select, refs: list[TableRef], sources: list[Source], access: Access) -> list[Column]:
+    """Reads FROM items through indexes where a conjunct of WHERE equates an indexed field with a constant, or, in inner
+    joins, with a field of an earlier item that WHERE restricts. Conditions that follow from the buckets are returned."""
+    scope = Scope(sources)
+    inner = all(j.kind == "inner" for j in query.joins)
+    terms = [t for p in (query.where, *((j.on for j in query.joins) if inner else ())) for t in conjuncts(p)]
+    constants, fields = _equated(terms, scope)
+    owner = {own: (k, name) for k, s in enumerate(sources) for name, own, _ in s.columns.values()}
+    read = set()
+    for own, value in constants:
+        k, name = owner[own]
+        if k not in read and (df := access.lookup(refs[k].name, name, value)) is not None:
+            sources[k].frame = df.select(*(F.col(f"`{n}`").alias(o) for n, o, _ in sources[k].columns.values()))
+            read.add(k)
+    out = []
+    restricted = {owner[own][0] for own, _ in constants}
+    for pair in fields if inner else ():
+        for outer, own in (pair, pair[::-1]):
+            k, name = owner[own]
+            if k in read or owner[outer][0] == k or owner[outer][0] not in restricted or k in restricted:
+                continue
+            if (got := access.probe(refs[k].name, name)) is not None:
+                df, bucket, of = got
+                sources[k].frame = df.select(*(F.col(f"`{n}`").alias(o) for n, o, _ in sources[k].columns.values()), F.col(bucket).alias(f"b{k}"))
+                out.append(F.col(f"b{k}") == of(F.col(outer)))
+                read.add(k)
+    return out
+
+
+def lower(query: Select, relations: Relations, access: Access | None = None) -> DataFrame:
+    refs = [*query.tables, *(j.ref for j in query.joins)]
+    sources = [source(t, k, relations) for k, t in enumerate(refs)]
+    more = _indexed(query, refs, sources, access) if access else []
+    n = len(query.tables)
+    # inner joins without a condition: WHERE becomes theirs, and unlike cross joins they let Spark prune partitions
+    frame = reduce(lambda a, b: a.join(b, F.lit(True), "inner"), (s.frame for s in sources[:n]))
+    for k, j in enumerate(query.joins, n + 1):
+        frame = frame.join(sources[k - 1].frame, Scope(sources[:k]).predicate(j.on), j.kind)
     scope = Scope(sources)
-    if query.where != And():
-        frame = frame.filter(scope.predicate(query.where))
+    if query.where != And() or more:
+        frame = frame.filter(reduce(and_, more, scope.predicate(query.where)))
     return frame.select(*scope.select_list(query.items))
 
 

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import json
+import time
+import uuid
 
 from pyspark.sql import SparkSession
 
 
 class Files:
     def __init__(self, spark: SparkSession):
+        self.spark = spark
         self.jvm, self.conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
 
     def _at(self, path: str):
@@ -36,21 +39,35 @@ class Files:
             stream.close()
 
     def create_json(self, path: str, value) -> bool:
-        """Writes a new file as a whole; false if there is one already, or another writer has claimed its name.
+        """Writes a new file as a whole; false if there is one already.
 
-        The claim, an empty file made exclusively, decides between writers also on stores whose rename replaces files.
+        The content is written under a name of its own and then gets the final one in one step that fails where the name
+        is taken: a hard link on local files, a rename without overwriting elsewhere (atomic in HDFS; a store without
+        atomic renames takes one writer at a time). A writer that dies leaves a part that nobody reads, and blocks no one.
         """
         fs, p = self._at(path)
-        if fs.exists(p) or not fs.createNewFile(self.jvm.org.apache.hadoop.fs.Path(f"{path}.claim")):
-            return False
-        part = self.jvm.org.apache.hadoop.fs.Path(f"{path}.{self.jvm.java.util.UUID.randomUUID().toString()}.part")
+        part = self.jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.part")
         out = fs.create(part, True)
         out.write(bytearray(json.dumps(value).encode()))
         out.close()
         try:
-            done = fs.rename(part, p)
+            if p.toUri().getScheme() in (None, "file"):
+                at = [self.jvm.java.nio.file.Paths.get(x.toUri().getPath(), self.spark.sparkContext._gateway.new_array(self.jvm.java.lang.String, 0)) for x in (p, part)]
+                self.jvm.java.nio.file.Files.createLink(*at)
+            else:
+                none = self.spark.sparkContext._gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 1)
+                none[0] = getattr(self.jvm.org.apache.hadoop.fs.Options.Rename, "NONE")
+                self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), self.conf).rename(part, p, none)
         except Exception:
-            done = False
-        if not done:
-            fs.delete(part, False)
-        return done
+            if not fs.exists(p):
+                raise
+            return False
+        finally:
+            if fs.exists(part):
+                fs.delete(part, False)
+        return True
+
+    def age(self, path: str) -> float:
+        """Seconds since a file or folder was last changed."""
+        fs, p = self._at(path)
+        return time.time() - fs.getFileStatus(p).getModificationTime() / 1000
