@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 from collections.abc import Callable
 
@@ -191,7 +193,9 @@ def _folder(spark: SparkSession) -> str:
     if not shared:
         if spark.sparkContext.master.partition("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        shared = "file://" + tempfile.mkdtemp(prefix="lamella-")
+        folder = tempfile.mkdtemp(prefix="lamella-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        shared = "file://" + folder
     return f"{shared.rstrip('/')}/tables-{uuid.uuid4().hex}"
 
 
