@@ -30,6 +30,68 @@ def test_query(spark, tmp_path):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
 
 
+def read_image(media):
+    """Samples of an 8-bit grey PNG by its specification: any filter, any number of data chunks. Shares nothing with the operator."""
+    assert media[:8] == bytes([137, 80, 78, 71, 13, 10, 26, 10])
+    at, chunks = 8, []
+    while at < len(media):
+        n = int.from_bytes(media[at : at + 4], "big")
+        kind, body, crc = media[at + 4 : at + 8], media[at + 8 : at + 8 + n], media[at + 8 + n : at + 12 + n]
+        assert zlib.crc32(kind + body).to_bytes(4, "big") == crc
+        chunks.append((kind, body))
+        at += 12 + n
+    assert chunks[0][0] == b"IHDR" and chunks[-1] == (b"IEND", b"")
+    head = chunks[0][1]
+    width, height = int.from_bytes(head[:4], "big"), int.from_bytes(head[4:8], "big")
+    assert tuple(head[8:]) == (8, 0, 0, 0, 0)
+    raw = zlib.decompress(b"".join(body for kind, body in chunks if kind == b"IDAT"))
+    assert len(raw) == height * (width + 1)
+    out, above = bytearray(), bytes(width)
+    for y in range(height):
+        kind, line = raw[y * (width + 1)], bytearray(raw[y * (width + 1) + 1 : (y + 1) * (width + 1)])
+        if kind:
+            for x in range(width):
+                a, b, c = line[x - 1] if x else 0, above[x], above[x - 1] if x else 0
+                p = a + b - c
+                paeth = min((abs(p - v), k, v) for k, v in enumerate((a, b, c)))[2]
+                line[x] = (line[x] + (0, a, b, (a + b) // 2, paeth)[kind]) % 256
+        out += line
+        above = bytes(line)
+    return width, height, bytes(out)
+
+
+def plain_feature(payload):
+    """Mean, deviation and mean hash in plain Python."""
+    n = len(payload)
+    mean = sum(payload) / n
+    deviation = (sum(x * x for x in payload) / n - mean * mean) ** 0.5
+    step = n // 64
+    bits = "".join("1" if sum(payload[k * step : (k + 1) * step]) / step > mean else "0" for k in range(64))
+    return mean, deviation, f"{int(bits, 2):016x}"
+
+
+def test_stored_images_and_features_by_other_code(spark):
+    """Every document of the smallest table: what is stored, read by an independent reader; the feature, computed plainly."""
+    import math
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    stored = {int(r.member.rpartition("_")[2].removesuffix(".png")): bytes(r.payload) for r in media.load(spark, manifest=media.store(spark.read.parquet(f"{sf}/documents.parquet"))).collect()}
+    got = {r.doc_id: r for r in op10.op10_media(spark, sf).collect()}
+    assert stored.keys() == got.keys() == texts.keys()
+    for i, t in texts.items():
+        raw = (t or "").encode()
+        size = max(576, math.ceil(len(raw) / 576) * 576)
+        width, height, samples = read_image(stored[i])
+        assert (width, height) == (576, size // 576) and samples == raw + b"\xff" * (size - len(raw))
+        r = got[i]
+        assert (r.n_bytes, r.payload_bytes, r.media_bytes) == (len(raw), size, len(stored[i]))
+        assert (r.payload_sha256, r.media_sha256, r.tail_crc32) == (hashlib.sha256(samples).hexdigest(), hashlib.sha256(stored[i]).hexdigest(), zlib.crc32(samples[-32:]))
+        mean, deviation, bits = plain_feature(samples)
+        m, d, h = r.feature.split("_")
+        assert abs(float(m[1:]) - mean) < 0.00051 and abs(float(d[1:]) - deviation) < 0.00051 and h == bits
+
+
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], DOC).write.parquet(f"{tmp_path}/documents.parquet")
     assert op10.op10_media(spark, str(tmp_path)).collect() == []
