@@ -7,8 +7,11 @@ adjacent violators. That curve calibrates the final scores.
 
 Training reads at most `most` label rows (MOST), so what comes to the driver has a fixed size. All documents are scored.
 
-Results: empty and null texts are scored like any other, from statistics that are 0. Without usable labels every score
-is 0.5; with labels of one kind it is their mean.
+Results: empty and null texts are scored like any other, from statistics that are 0; very long ones from all of their
+text. Without usable labels every score is 0.5; with labels of one kind it is their mean. Label rows that repeat count
+once, and of documents that share a labelled doc_id one is learned, that with the least statistics. Equal texts have equal
+scores; scores may tie. Rows that repeat are scored each by itself. All columns are kept, and a caller who has a column
+named score gives the new one another name. An empty table gives no rows.
 """
 
 from __future__ import annotations

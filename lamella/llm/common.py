@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -22,7 +24,9 @@ def shared_dir(spark: SparkSession) -> str:
     if spark.sparkContext.master.partition("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own:
-        _own.append("file://" + tempfile.mkdtemp(prefix="lamella-"))
+        folder = tempfile.mkdtemp(prefix="lamella-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _own.append("file://" + folder)
     return _own[0]
 
 

@@ -8,7 +8,10 @@ affected. Payloads stream as Arrow batches of bounded size.
 
 Archives of lost or repeated tasks are not in the manifest, a table that Spark commits, and are not read.
 
-Results: a null text is an empty payload, and an empty one is one row of padding. Equal texts give equal media.
+Results: a null text is an empty payload, and an empty one is one row of padding. Equal texts give equal media. A null id
+is stored as none and comes back as null; rows that repeat, or share an id, are members of their own. A very long text is
+one member, held as a whole while it is written and read. Columns other than id and text are not read. An empty table makes
+no archive and gives no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +31,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from lamella.llm import common
 
 SAMPLES = 576
-ARCHIVE_BYTES, RANGE_BYTES, BATCH_BYTES = 64 << 20, 16 << 20, 4 << 20
+#: A range reads its archive's directory once; archives that `store` writes are one range each.
+ARCHIVE_BYTES, RANGE_BYTES, BATCH_BYTES = 64 << 20, 128 << 20, 4 << 20
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
 

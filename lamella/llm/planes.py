@@ -11,7 +11,9 @@ index (offset and plane sizes) and each document's id and length. A reader needs
 Executors write files under names of their own; a file counts only if the manifest, a table that Spark commits, names it.
 A repeated or lost task therefore leaves at most a file that nobody reads.
 
-Order of equal doc_ids: by text; a null doc_id comes first. Null and empty texts hold the end id alone.
+Order of equal doc_ids: by text; a null doc_id comes first. Null and empty texts hold the end id alone. Rows that repeat
+are documents of their own. All rows of one doc_id lie in one file. A very long text is encoded as a whole in its task and
+written in blocks. Columns other than id and text are not read. An empty table makes no file and gives no rows.
 """
 
 from __future__ import annotations

@@ -8,7 +8,12 @@ and become one ordered Spark CASE expression, over statistics of every whole tex
 Learning reads at most MOST label rows, whose statistics come to the driver: a fixed size. Without labels the list is
 empty and keeps all.
 
-Results: a document without words fails the base rule, as its n_words is below 10.
+Results: a document without words fails the base rule, as its n_words is below 10; so does one with a null or empty text.
+Rules are tried in the order they were learned, and a tie between thresholds goes to the statistic named first, the lower
+cut and the "at most" side. Labels without a doc_id, with a quality other than 0 and 1, or of no document are not learned;
+of documents that share a labelled doc_id one is, that with the least statistics; a label row that repeats counts once.
+Without labels, or without low ones, only the base rule judges. Rows that repeat are judged each by itself, columns with
+clashing names are kept, and an empty table gives no rows.
 """
 
 from __future__ import annotations

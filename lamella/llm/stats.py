@@ -1,6 +1,12 @@
 """Statistics of documents that the quality rules and the quality classifier read. Texts only: no ids, sources or labels.
 
-Results: null and empty texts have no words; all their counts and ratios are 0.
+Words, windows and lines are compared by 64-bit hashes, all of a batch together: of k different ones two are taken for
+equal with a chance of k^2 / 2^65. A batch of 4 MB has about 700,000, which makes 1.3e-8; over the 25 million batches of
+100 TB, a third of one count is expected to be off.
+
+Results: null and empty texts have no words; all their counts and ratios are 0. Very long texts are read whole. Rows that
+repeat, or share an id, are counted each by itself. All columns of the input are kept, and the new one gets a name that
+none of them has. An empty table gives no rows.
 """
 
 from __future__ import annotations
