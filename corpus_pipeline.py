@@ -1,4 +1,9 @@
-"""Documents to packed training sequences: STAGES in order, each a function of (spark, docs, sf_dir)."""
+"""Documents to packed training sequences: STAGES in order, each a function of (spark, docs, sf_dir).
+
+Null and empty texts fail the base rule and go in the first stage. Rows that repeat are judged each by itself; near_dedup
+keeps one row of a doc_id, that with the least text, and rows without a doc_id. Columns with clashing names pass through
+all stages but the last, which gives doc_id, piece and place alone. Tables without rows give none.
+"""
 
 from __future__ import annotations
 
