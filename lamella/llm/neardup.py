@@ -11,9 +11,9 @@ at the threshold shares no key with a probability of at most MISS.
    all. A key that very many nodes share therefore sends one row for each chunk. Connected ties form clusters: supersets of all
    candidate pairs, in which no pair of a bucket is ever written out.
 3. Sets are confirmed in full within clusters. A cluster of more than a fair share of the shingles, or than one task can
-   hold, is dealt in blocks: first each block with a few pivots; then, in clusters that are still in several components,
-   the buckets that hold several, each set of buckets with the same members once: what is outside of the bucket's largest
-   component against all of the bucket, block by block. No candidate is dropped.
+   hold, is dealt in blocks: first each block with a few pivots. In clusters that are still in several components, what is
+   outside of the largest is then compared with all, block by block; where that is more than PARTS blocks, within buckets
+   instead of the cluster, those with the same members once. No candidate is dropped.
 4. Within a group, sets are compared with a pivot while that joins many of them; then those outside the largest component
    only with sets with which they share one of their rarest shingles (prefix filter: of n shingles, one of the rarest
    n - ceil(n * similarity) + 1 is shared by any two sets at the threshold). Sets that are not alike cost next to nothing.
@@ -47,6 +47,8 @@ MISS = 3e-5
 #: Shingles of a cluster, or of each side of a pair of blocks, that one task holds; and what is never dealt in blocks.
 BLOCK, LEAST_BLOCK = 2_000_000, 4_000
 PIVOTS = 8
+#: Blocks of sets outside the largest component up to which a cluster is compared as one, not bucket by bucket.
+PARTS = 16
 #: Keys that a task makes, about, and that it holds at once.
 KEYS, HELD = 2_000_000, 1_000_000
 SEED = 20_011
@@ -166,20 +168,25 @@ def _linked(a: np.ndarray, b: np.ndarray, common_: np.ndarray, percent: int) ->
     return 100 * common_ >= percent * (a + b - common_)
 
 
-def links_within(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """The least index of each set's component under links of at least `percent` of the union. Exact."""
+def links_within(sets: list[np.ndarray], percent: int, root: np.ndarray | None = None) -> np.ndarray:
+    """The least index of each set's component under links of at least `percent` of the union. Exact.
+
+    root: components that are known already, by the least index of each.
+    """
     n = len(sets)
     size = np.asarray([len(s) for s in sets], np.int64)
+    root = np.arange(n) if root is None else root.copy()
     if n == 2:
-        both = len(np.intersect1d(*sets, assume_unique=True))
-        return np.zeros(2, np.int64) if _linked(size[0], size[1], np.int64(both), percent) else np.arange(2)
+        if root[1]:
+            both = len(np.intersect1d(*sets, assume_unique=True))
+            root[1] = 0 if _linked(size[0], size[1], np.int64(both), percent) else 1
+        return root
     values, ids, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     starts = np.r_[0, np.cumsum(size)]
     mark = np.zeros(len(values), np.int32)
-    root = np.arange(n)
     # pivots, as long as each joins an eighth of the sets outside the largest component
-    rest = np.arange(n)
-    while len(rest) > 1:
+    rest = np.flatnonzero(root != np.bincount(root).argmax()) if (root != np.arange(n)).any() else np.arange(n)
+    while len(rest):
         x = int(rest[np.argsort(size[rest], kind="stable")[len(rest) // 2]])
         own = ids[starts[x] : starts[x + 1]]
         mark[own] = 1
@@ -238,41 +245,47 @@ def _link_rest(rest: np.ndarray, root: np.ndarray, ids: np.ndarray, often: np.nd
 
 
 def _confirm(batches, size: int, percent: int):
-    """Rows sorted by group: grp, doc_id, text. Gives each document with the least of its component in the group."""
-    ids: list[int] = []
+    """Rows sorted by group: grp, doc_id, comp, text. Gives each known component with the least one that it is linked to in the group."""
+    comps: list[int] = []
     sets: list[np.ndarray] = []
     seen: set[tuple[int, bytes]] = set()  # rows that repeat are held once
     now = None
 
     def close():
-        doc = np.asarray(ids, np.int64)
-        root = links_within(sets, percent)
-        least = np.full(len(doc), np.iinfo(np.int64).max)
-        np.minimum.at(least, root, doc)
-        v = least[root]
-        return pa.RecordBatch.from_arrays([pa.array(doc[doc != v]), pa.array(v[doc != v])], names=["u", "v"])
+        names, of = np.unique(np.asarray(comps, np.int64), return_inverse=True)
+        if len(names) < 2:
+            return None
+        first = np.full(len(names), len(of))
+        np.minimum.at(first, of, np.arange(len(of)))
+        root = links_within(sets, percent, first[of])
+        least = np.full(len(of), len(names))
+        np.minimum.at(least, root, of)
+        v = least[root[first]]
+        moved = v != np.arange(len(names))
+        return pa.RecordBatch.from_arrays([pa.array(names[moved]), pa.array(names[v[moved]])], names=["u", "v"])
 
     for b in common.lean(batches):
         out = []
-        for g, d, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), shingle_sets(b.column(2), size), strict=True):
+        for g, d, c, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), shingle_sets(b.column(3), size), strict=True):
             if g != now:
-                if len(sets) > 1:
-                    out.append(close())
-                now, ids, sets, seen = g, [], [], set()
+                out.append(close())
+                now, comps, sets, seen = g, [], [], set()
             key = (d, hashlib.blake2b(s.tobytes(), digest_size=16).digest())
             if len(s) and key not in seen:
                 seen.add(key)
-                ids.append(d)
+                comps.append(c)
                 sets.append(s)
+        out = [x for x in out if x is not None and x.num_rows]
         if out:
-            yield pa.Table.from_batches(out).combine_chunks().to_batches()[0] if sum(x.num_rows for x in out) else out[0]
-    if len(sets) > 1:
-        yield close()
+            yield pa.Table.from_batches(out).combine_chunks().to_batches()[0]
+    last = close()
+    if last is not None and last.num_rows:
+        yield last
 
 
 def confirm(rows: DataFrame, size: int, percent: int) -> DataFrame:
-    """rows: grp, doc_id, text. Exact links within each group, as u, v."""
-    dealt = rows.select("grp", "doc_id", "text").repartition("grp").sortWithinPartitions("grp")
+    """rows: grp, doc_id, comp, text. Exact links between known components within each group, as u, v."""
+    dealt = rows.select("grp", "doc_id", "comp", "text").repartition("grp").sortWithinPartitions("grp")
     return dealt.mapInArrow(lambda it: _confirm(it, size, percent), "u long, v long")
 
 
@@ -295,55 +308,59 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, block: in
     weights = weighed.groupBy("root").agg(F.ceil(F.sum("n") / block).cast("long").alias("blocks"))
     member = common.written(weighed.join(weights, "root").select(F.col("node").alias("doc_id"), "root", "n", "blocks"), "members")
     common.drop(weighed)
-    small = docs.join(member.where("blocks = 1"), "doc_id").select(F.col("root").alias("grp"), "doc_id", "text")
-    edges = common.written(confirm(small, size, percent), "links")
+    texts = common.written(docs.join(member, "doc_id").select("doc_id", "root", "n", "blocks", "text"), "texts")
+    grp = F.xxhash64("root", "blk").alias("grp")
+    spread = texts.withColumn("blk", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    rank = F.xxhash64(F.lit(SEED), "doc_id")
+    pivots = member.where("blocks > 1").groupBy("root", F.pmod(rank, F.lit(PIVOTS)).alias("k")).agg(F.min(F.struct(rank.alias("r"), "doc_id")).alias("p"))
+    everywhere = texts.join(pivots.select("p.doc_id"), "doc_id").withColumn("blk", F.explode(_range("blocks")))
+    one = spread.union(everywhere.select(spread.columns)).select(grp, "doc_id", F.col("doc_id").alias("comp"), "text")
+    edges = common.written(confirm(one, size, percent), "links")
     large = member.where("blocks > 1")
     if large.take(1):
-        edges = edges.union(_large_clusters(docs, nodes, large, m, size, percent, block))
+        edges = _large_clusters(texts, nodes, large, edges, m, size, percent, block)
     first = nodes.select("set_key", F.col("doc_id").alias("v"))
     same = linkable.join(first, "set_key").where("doc_id <> v").select(F.col("doc_id").alias("u"), "v").distinct()
     labels = common.written(components(edges.select("u", "v").union(same)), "labels")
-    common.drop(nodes, tied, member)
+    common.drop(nodes, tied, member, texts)
     placed = rows.join(labels.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left")
     return placed.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
 
 
-def _large_clusters(docs: DataFrame, nodes: DataFrame, large: DataFrame, m: int, size: int, percent: int, block: int) -> DataFrame:
-    """Links of clusters that no task could hold. large: doc_id, root, n (shingles), blocks."""
-    spread = large.select("doc_id", "root", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).alias("blk"))
-    rank = F.xxhash64(F.lit(SEED), "doc_id")
-    pivots = large.groupBy("root", "blocks", F.pmod(rank, F.lit(PIVOTS)).alias("k")).agg(F.min(F.struct(rank.alias("r"), "doc_id")).alias("p"))
-    pivots = pivots.select("p.doc_id", "root", F.explode(_range("blocks")).alias("blk"))
-    one = common.written(confirm(_with_text(docs, spread.union(pivots).distinct(), "root", "blk"), size, percent), "links-pivots")
-
+def _large_clusters(texts: DataFrame, nodes: DataFrame, large: DataFrame, one: DataFrame, m: int, size: int, percent: int, block: int) -> DataFrame:
+    """All links, with those of clusters that were dealt in blocks. large: doc_id, root, n (shingles), blocks; one: the links in the blocks."""
     found = components(one).select(F.col("node").alias("doc_id"), F.col("root").alias("comp"))
     state = common.written(large.select("doc_id", "root", "n").join(found, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id")), "large-state")
-    several = state.groupBy("root").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("root")
+
+    def parts_of(members: DataFrame, group: str) -> DataFrame:
+        """Of groups with several components: the largest, and how many blocks there are outside of it and in all."""
+        weight = members.groupBy(group, "comp").agg(F.sum("n").alias("w"))
+        top = weight.groupBy(group).agg(F.max(F.struct("w", "comp")).alias("x"), F.sum("w").alias("all"), F.count("*").alias("comps")).where("comps > 1")
+        return top.select(group, F.col("x.comp").alias("top"), F.ceil((F.col("all") - F.col("x.w")) / block).alias("parts"), F.ceil(F.col("all") / block).alias("blocks"))
+
+    several = common.written(parts_of(state, "root"), "open-clusters")
     if not several.take(1):
         return one
-    state = state.join(several, "root").select("doc_id", "n", "comp")
-    keyed = common.written(_keyed(nodes.drop("set_key", "n_shingles").join(state, "doc_id"), m), "large-keyed")
-    same = (F.count("*").alias("size"), *(F.sum(F.xxhash64(F.lit(k), "doc_id").cast("decimal(38,0)")).alias(f"h{k}") for k in range(2)))
-    each = keyed.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.ceil(F.sum("n") / block).alias("blocks"), *same).where("a < b")
-    open_ = each.groupBy("size", "h0", "h1").agg(F.min("key").alias("key"), F.first("blocks").alias("blocks"))
-    weight = keyed.groupBy("key", "comp").agg(F.sum("n").alias("w"))
-    top = weight.groupBy("key").agg(F.max(F.struct("w", "comp")).alias("x"), F.sum("w").alias("all")).select("key", F.col("x.comp").alias("top"), F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("x.w")) / block)).alias("parts"))
-    buckets = common.written(open_.join(top, "key").select("key", "blocks", "top", "parts"), "open-buckets")
-    members = common.written(keyed.join(buckets, "key"), "open-members")
-    left = members.where("comp <> top").select("doc_id", "key", F.pmod(F.xxhash64("doc_id"), F.col("parts")).alias("part"), F.explode(_range("blocks")).alias("blk"))
-    right = members.select("doc_id", "key", F.explode(_range("parts")).alias("part"), F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.col("blocks")).alias("blk"))
-    two = confirm(_with_text(docs, left.union(right).distinct(), "key", "part", "blk"), size, percent)
-    return one.union(common.written(two, "links-blocks"))
+    open_ = state.join(several.withColumnRenamed("root", "gid").where(F.col("parts") <= PARTS), F.col("root") == F.col("gid")).select("gid", "doc_id", "comp", "top", "parts", "blocks")
+    if several.where(F.col("parts") > PARTS).take(1):
+        rest = state.join(several.where(F.col("parts") > PARTS).select("root"), "root").select("doc_id", "n", "comp")
+        keyed = common.written(_keyed(nodes.drop("set_key", "n_shingles").join(rest, "doc_id"), m), "large-keyed")
+        same = (F.count("*").alias("size"), *(F.sum(F.xxhash64(F.lit(k), "doc_id").cast("decimal(38,0)")).alias(f"h{k}") for k in range(2)))
+        each = keyed.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), *same).where("a < b")
+        once = common.written(each.groupBy("size", "h0", "h1").agg(F.min("key").alias("key")).select("key"), "open-keys")
+        members = common.written(keyed.join(once, "key"), "open-members")
+        open_ = open_.union(members.join(parts_of(members, "key"), "key").select(F.col("key").alias("gid"), "doc_id", "comp", "top", "parts", "blocks"))
+    left = open_.where("comp <> top").select("doc_id", "comp", "gid", F.pmod(F.xxhash64("doc_id"), F.col("parts")).alias("part"), F.explode(_range("blocks")).alias("blk"))
+    right = open_.select("doc_id", "comp", "gid", F.explode(_range("parts")).alias("part"), F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.col("blocks")).alias("blk"))
+    dealt = common.written(left.union(right).distinct(), "open-blocks")
+    rows = texts.select("doc_id", "text").join(dealt, "doc_id").select(F.xxhash64("gid", "part", "blk").alias("grp"), "doc_id", "comp", "text")
+    return one.union(common.written(confirm(rows, size, percent), "links-blocks"))
 
 
 def _range(column: str):
     return F.sequence(F.lit(0).cast("long"), F.col(column).cast("long") - 1)
 
 
-def _with_text(docs: DataFrame, dealt: DataFrame, *group: str) -> DataFrame:
-    return docs.join(dealt, "doc_id").select(F.xxhash64(*group).alias("grp"), "doc_id", "text")
-
-
 def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs of which one document of each class stays: that with the least doc_id.
 

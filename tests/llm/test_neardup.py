@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import types as T
 
-from lamella.llm import neardup, op2, words
+from lamella.llm import components, neardup, op2, words
 
 DOC = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("component_id", T.StringType()), T.StructField("root", T.IntegerType())])
 
@@ -85,6 +85,24 @@ def test_links_within_is_exact(percent):
         assert all((got[a] == got[b]) == (want[a] == want[b]) for a in range(len(sets)) for b in range(a))
 
 
+def test_known_components_are_kept():
+    r = np.random.default_rng(1)
+    sets = [np.sort(r.choice(np.arange(60, dtype=np.uint64), 40, replace=False)) for _ in range(30)]
+    known = np.arange(30)
+    known[[7, 9, 20]] = 3
+    known[29] = 28
+    got, plain = neardup.links_within(sets, 70, known), neardup.links_within(sets, 70)
+    up = {k: {k} for k in range(30)}
+    for one in (known, plain):
+        for k in range(30):
+            x, y = up[k], up[int(one[k])]
+            if x is not y:
+                x |= y
+                for j in y:
+                    up[j] = x
+    assert all((got[a] == got[b]) == (up[a] is up[b]) for a in range(30) for b in range(a))
+
+
 def test_links_between_texts_of_one_form():
     """Many documents that share half their shingles, and a few near copies among them."""
     r = np.random.default_rng(2)
@@ -106,6 +124,24 @@ def test_many_sets_that_are_not_alike_are_quick():
     assert got[777] == got[11] == 11 and len(np.unique(got)) == 49_999
 
 
+@pytest.mark.parametrize("held", [40, 10**6])
+def test_components(spark, held):
+    r = random.Random(held)
+    chain = [(k, k + 1) for k in range(100, 160)]
+    star = [(500, k) for k in range(501, 560)]
+    edges = chain + star + [(r.randrange(40), r.randrange(40)) for _ in range(25)] + [(3, 3), (101, 100), (101, 100)]
+    up = {}
+    for a, b in edges:
+        if a != b:
+            x, y = up.setdefault(a, {a}), up.setdefault(b, {b})
+            if x is not y:
+                x |= y
+                up.update(dict.fromkeys(x, x))
+    got = {x.node: x.root for x in components.components(spark.createDataFrame(edges, "u long, v long"), held).collect()}
+    assert got == {k: min(x) for k, x in up.items()}
+    assert components.components(spark.createDataFrame([], "u long, v long"), held).collect() == []
+
+
 def test_ties_connect_exactly_the_buckets(spark):
     r = random.Random(8)
     rows = [(k, *(r.randrange(4) for _ in range(4))) for k in range(120)]
@@ -151,9 +187,11 @@ def test_large_clusters_in_blocks(spark, block, monkeypatch):
     assert got == brute(rows, 3, 85)
 
 
-def test_clusters_of_a_form_in_blocks(spark, monkeypatch):
-    """A cluster with many components, which pivots do not join."""
+@pytest.mark.parametrize("parts", [0, 16])
+def test_clusters_of_a_form_in_blocks(spark, monkeypatch, parts):
+    """A cluster with many components, which pivots do not join; compared as one, and bucket by bucket."""
     monkeypatch.setattr(neardup, "LEAST_BLOCK", 50)
+    monkeypatch.setattr(neardup, "PARTS", parts)
     r = random.Random(6)
     form = " ".join(f"f{k}" for k in range(40))
     rows = [form + " " + " ".join(f"w{r.randrange(10**6)}" for _ in range(12)) for _ in range(80)]
