@@ -25,7 +25,7 @@ def odd_texts():
     return ["", " ", "\n\n", "a" * 5000, "ab" * 3001, long, long.upper() + "!" * 900, "x" * 300 + "<|endoftext|>" + "y" * 700 + "'s", "é ́a b c\x1cd", "ΣΣ Σ", "İstanbul " * 3, "日本語" * 400, "it's we'll 123 a1b2", " a\tb\r\nc", "𝒳" * 300]
 
 
-@pytest.mark.parametrize("leaf", [1, 3, 16, 64])
+@pytest.mark.parametrize("leaf", [2, 16])
 def test_codec_equals_library(plain, leaf):
     c = bpe.Codec(PATH, leaf=leaf)
     for t in odd_texts():
@@ -81,8 +81,8 @@ def test_every_long_document_is_joined_from_leaves(spark, plain):
 def test_cuts_inside_words_contractions_marks_and_added_tokens(plain):
     pieces = ["don't", "we'll", "!!'s", "'re", "e\u0301e\u0301", "가\u11a8", "<|endoftext|>", "a\u0327\u0301", "12.5", "'l", "l", "'v", "e", " ", "\n", "?!?!", "İ", "ﬁ", "👩\u200d👩"]
     r = random.Random(11)
-    codecs = [bpe.Codec(PATH, leaf=k) for k in (1, 2, 5)]
-    for _ in range(150):
+    codecs = [bpe.Codec(PATH, leaf=k) for k in (1, 5)]
+    for _ in range(80):
         t = "".join(r.choice(pieces) for _ in range(r.randrange(2, 24)))
         want = plain.encode(t, add_special_tokens=False).ids
         for c in codecs:
