@@ -44,11 +44,14 @@ from lamella.llm.words import ODD, mix, shingle_sets
 #: More hashes in a collection tie fewer documents that share a passage only, and need more tables.
 WIDTH = 3
 MISS = 3e-5
-#: Shingles of a cluster, or of each side of a pair of blocks, that one task holds; and what is never dealt in blocks.
-BLOCK, LEAST_BLOCK = 2_000_000, 4_000
+#: Shingles of a cluster, or of each side of a pair of blocks, that one task holds; and what is never dealt in blocks. A
+#: document counts EACH shingles more than it has.
+BLOCK, LEAST_BLOCK, EACH = 2_000_000, 3_000, 50
 PIVOTS = 8
 #: Blocks of sets outside the largest component up to which a cluster is compared as one, not bucket by bucket.
-PARTS = 16
+PARTS = 128
+#: Documents are sieved by so many marks, which all tasks get, before they are joined with the members of clusters.
+MARKS = 1 << 20
 #: Keys that a task makes, about, and that it holds at once.
 KEYS, HELD = 2_000_000, 1_000_000
 SEED = 20_011
@@ -302,13 +305,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, block: in
     tied = ties(nodes, m)
     clusters = components(tied)
 
-    weighed = common.written(clusters.join(nodes.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n")), "node"), "weighed")
+    weighed = common.written(clusters.join(nodes.select(F.col("doc_id").alias("node"), (F.col("n_shingles") + EACH).alias("n")), "node"), "weighed")
     share = (weighed.agg(F.sum("n")).first()[0] or 0) // int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    block = min(block, max(LEAST_BLOCK, share))
+    block, most = min(block, max(LEAST_BLOCK, share)), block
     weights = weighed.groupBy("root").agg(F.ceil(F.sum("n") / block).cast("long").alias("blocks"))
     member = common.written(weighed.join(weights, "root").select(F.col("node").alias("doc_id"), "root", "n", "blocks"), "members")
     common.drop(weighed)
-    texts = common.written(docs.join(member, "doc_id").select("doc_id", "root", "n", "blocks", "text"), "texts")
+    mark = F.pmod(F.xxhash64("doc_id"), F.lit(MARKS)).cast("int").alias("mark")
+    some = docs.select("*", mark).join(F.broadcast(member.select(mark).distinct()), "mark", "left_semi").drop("mark")
+    texts = common.written(some.join(member, "doc_id").select("doc_id", "root", "n", "blocks", "text"), "texts")
     grp = F.xxhash64("root", "blk").alias("grp")
     spread = texts.withColumn("blk", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
     rank = F.xxhash64(F.lit(SEED), "doc_id")
@@ -318,7 +323,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, block: in
     edges = common.written(confirm(one, size, percent), "links")
     large = member.where("blocks > 1")
     if large.take(1):
-        edges = _large_clusters(texts, nodes, large, edges, m, size, percent, block)
+        edges = _large_clusters(texts, nodes, large, edges, m, size, percent, block, most)
     first = nodes.select("set_key", F.col("doc_id").alias("v"))
     same = linkable.join(first, "set_key").where("doc_id <> v").select(F.col("doc_id").alias("u"), "v").distinct()
     labels = common.written(components(edges.select("u", "v").union(same)), "labels")
@@ -327,16 +332,22 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, block: in
     return placed.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
 
 
-def _large_clusters(texts: DataFrame, nodes: DataFrame, large: DataFrame, one: DataFrame, m: int, size: int, percent: int, block: int) -> DataFrame:
+def _large_clusters(texts: DataFrame, nodes: DataFrame, large: DataFrame, one: DataFrame, m: int, size: int, percent: int, block: int, most: int) -> DataFrame:
     """All links, with those of clusters that were dealt in blocks. large: doc_id, root, n (shingles), blocks; one: the links in the blocks."""
     found = components(one).select(F.col("node").alias("doc_id"), F.col("root").alias("comp"))
     state = common.written(large.select("doc_id", "root", "n").join(found, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id")), "large-state")
 
     def parts_of(members: DataFrame, group: str) -> DataFrame:
-        """Of groups with several components: the largest, and how many blocks there are outside of it and in all."""
+        """Of groups with several components: the largest, and in how many blocks what is outside of it, and all, is dealt.
+
+        Blocks are such that there are about as many pairs of them as tasks, within the bounds of a block.
+        """
         weight = members.groupBy(group, "comp").agg(F.sum("n").alias("w"))
         top = weight.groupBy(group).agg(F.max(F.struct("w", "comp")).alias("x"), F.sum("w").alias("all"), F.count("*").alias("comps")).where("comps > 1")
-        return top.select(group, F.col("x.comp").alias("top"), F.ceil((F.col("all") - F.col("x.w")) / block).alias("parts"), F.ceil(F.col("all") / block).alias("blocks"))
+        top = common.written(top.select(group, F.col("x.comp").alias("top"), (F.col("all") - F.col("x.w")).alias("out"), "all"), "open-weights")
+        pairs = top.agg(F.sum(F.col("out").cast("double") * F.col("all"))).first()[0] or 0
+        each = min(max(block, int((pairs / int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))) ** 0.5)), most)
+        return top.select(group, "top", F.ceil(F.col("out") / each).alias("parts"), F.ceil(F.col("all") / each).alias("blocks"))
 
     several = common.written(parts_of(state, "root"), "open-clusters")
     if not several.take(1):
