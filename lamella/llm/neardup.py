@@ -44,9 +44,8 @@ from lamella.llm.words import ODD, mix, shingle_sets
 #: More hashes in a collection tie fewer documents that share a passage only, and need more tables.
 WIDTH = 3
 MISS = 3e-5
-#: Shingles of a cluster, or of each side of a pair of blocks, that one task holds; and what is never dealt in blocks. A
-#: document counts EACH shingles more than it has.
-BLOCK, LEAST_BLOCK, EACH = 2_000_000, 3_000, 50
+#: Shingles of a cluster, or of each side of a pair of blocks, that one task holds; shingles and rows that are never dealt in blocks.
+BLOCK, LEAST_BLOCK, LEAST_ROWS = 2_000_000, 4_000, 40
 PIVOTS = 8
 #: Blocks of sets outside the largest component up to which a cluster is compared as one, not bucket by bucket.
 PARTS = 128
@@ -305,10 +304,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, block: in
     tied = ties(nodes, m)
     clusters = components(tied)
 
-    weighed = common.written(clusters.join(nodes.select(F.col("doc_id").alias("node"), (F.col("n_shingles") + EACH).alias("n")), "node"), "weighed")
-    share = (weighed.agg(F.sum("n")).first()[0] or 0) // int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    block, most = min(block, max(LEAST_BLOCK, share)), block
-    weights = weighed.groupBy("root").agg(F.ceil(F.sum("n") / block).cast("long").alias("blocks"))
+    weighed = common.written(clusters.join(nodes.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n")), "node"), "weighed")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shingles, rows_ = weighed.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    block, most = min(block, max(LEAST_BLOCK, shingles // parts)), block
+    of_rows = F.ceil(F.count("*") / max(LEAST_ROWS, rows_ // parts))
+    weights = weighed.groupBy("root").agg(F.greatest(F.ceil(F.sum("n") / block), of_rows).cast("long").alias("blocks"))
     member = common.written(weighed.join(weights, "root").select(F.col("node").alias("doc_id"), "root", "n", "blocks"), "members")
     common.drop(weighed)
     mark = F.pmod(F.xxhash64("doc_id"), F.lit(MARKS)).cast("int").alias("mark")
