@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +16,10 @@ from lamella.plans.lower import condition
 from lamella.plans.parser import parse_predicate
 from lamella.sources.indexes import BUCKET, Indexed
 
+#: Of a merge join: tasks at most, pairs for each row read from which groups multiply, and key types whose equal values hash alike.
+MOST_TASKS, MULTIPLIED = 2048, 8
+HASHED = {"boolean", "tinyint", "smallint", "int", "bigint", "float", "double", "decimal", "string", "binary", "date", "timestamp", "timestamp_ntz"}
+
 
 def project(df: DataFrame, fields: list[str]) -> DataFrame:
     """The named fields, in this order."""
@@ -45,10 +52,66 @@ def _equal(left: DataFrame, right: DataFrame, left_field: str, right_field: str)
     return compare("=", F.col(f"l{names[0]}"), F.col(f"r{names[1]}"), family(a), family(b))
 
 
-def merge_join(left: DataFrame, right: DataFrame, left_field: str, right_field: str) -> DataFrame:
-    """Inner equi-join by sorting both sides; groups of equal keys on both sides multiply. The left name wins."""
+def merge_join(left: DataFrame, right: DataFrame, left_field: str, right_field: str, pairs: int = 4_000_000, rows: int = 100_000) -> DataFrame:
+    """Inner equi-join by sorting both sides; groups of equal keys on both sides multiply. The left name wins.
+
+    The rows of each key are counted first. Where groups multiply, tasks are as many as the pairs ask for, `pairs` to each
+    until there are MOST_TASKS: Spark sizes tasks by the bytes they read, which say nothing of the pairs. A key with more
+    than a task's share, or more than `rows` right rows (a left row's pairs are held at once), is dealt in blocks: parts of
+    its left rows by parts of its right ones. Each pair of rows meets in one block; each block is sorted and merged.
+    """
     a, b, out = _apart(left, right)
-    return a.join(b.hint("merge"), _equal(left, right, left_field, right_field)).select(*out)
+    plain = a.join(b.hint("merge"), _equal(left, right, left_field, right_field))
+    kind = _compared_as(plain)
+    if kind is None:
+        return plain.select(*out)
+    keyed = []
+    for side, df, columns, field in (("l", a, left.columns, left_field), ("r", b, right.columns, right_field)):
+        key = F.col(f"{side}{[c.lower() for c in columns].index(field.lower())}").cast(kind)
+        keyed.append(df.withColumn("key", key).where(F.col("key").isNotNull()))
+    ones = [df.select(F.xxhash64("key").alias("h"), F.lit(n).alias("l"), F.lit(1 - n).alias("r")) for n, df in zip((1, 0), keyed, strict=True)]
+    groups = ones[0].unionAll(ones[1]).groupBy("h").agg(F.sum("l").alias("l"), F.sum("r").alias("r")).withColumn("pairs", F.col("l").cast("double") * F.col("r"))
+    read, total, most, widest = groups.agg(F.sum(F.col("l") + F.col("r")), F.sum("pairs"), F.max("pairs"), F.max(F.when(F.col("l") > 0, F.col("r")))).first()
+    share = max(pairs, (total or 0) / MOST_TASKS)
+    if (most or 0) <= share and (widest or 0) <= rows and (total or 0) <= max(pairs, MULTIPLIED * (read or 0)):
+        return plain.select(*out)
+    large = groups.where((F.col("l") > 0) & ((F.col("pairs") > share) | (F.col("r") > rows))).collect()
+    tasks = max(math.ceil(total / share), math.ceil(MULTIPLIED * read / pairs), int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = _dealt(*keyed, [(g["h"], *_parts(g["l"], g["r"], share, rows)) for g in large])
+    on = ["key", "part", "other"] if large else ["key"]
+    x, y = (df.withColumnsRenamed({c: f"{side}_{c}" for c in on}).repartition(tasks, *(f"{side}_{c}" for c in on)) for side, df in zip("lr", dealt, strict=True))
+    return x.join(y.hint("merge"), [F.col(f"l_{c}") == F.col(f"r_{c}") for c in on]).select(*out)
+
+
+def _compared_as(joined: DataFrame) -> str | None:
+    """The type in which Spark compares the two fields of an equi-join; None where no equality, or no hash of it, is sure."""
+    on = joined._jdf.queryExecution().analyzed().condition().get()
+    kind = on.left().dataType().simpleString() if on.nodeName() == "EqualTo" else ""
+    return kind if kind.partition("(")[0] in HASHED else None
+
+
+def _parts(left: int, right: int, share: float, rows: int) -> tuple[int, int]:
+    """Parts of a group's left rows and of its right ones: blocks of about a share of the pairs, and few rows repeated."""
+    blocks = left * right / share
+    q = min(right, max(1, math.ceil(right / rows), round(math.sqrt(blocks * right / left))))
+    return min(left, max(1, math.ceil(blocks / q))), q
+
+
+def _dealt(a: DataFrame, b: DataFrame, plan: list[tuple[int, int, int]]) -> tuple[DataFrame, DataFrame]:
+    """Rows of the keys in the plan (hash, left parts, right parts) by block: in one part of their side, with all of the other.
+
+    Hashes that clash share a plan, which harms no result. Places are hashed, since keys may recur at even distances.
+    """
+    if not plan:
+        return a, b
+    of = a.sparkSession.createDataFrame(pa.table(dict(zip(("h", "p", "q"), map(list, zip(*plan, strict=True)), strict=True))))
+    sides = []
+    for df, own, other in ((a, "p", "q"), (b, "q", "p")):
+        df = df.withColumns({"h": F.xxhash64("key"), "place": F.xxhash64(F.monotonically_increasing_id())}).join(of, "h", "left")
+        one, all_ = F.pmod("place", F.coalesce(own, F.lit(1))), F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(other, F.lit(1)) - 1))
+        part, repeated = ("part", "other") if own == "p" else ("other", "part")
+        sides.append(df.withColumn(part, one).withColumn(repeated, all_).drop("h", "place", "p", "q"))
+    return tuple(sides)
 
 
 def index_join(left: DataFrame, right: DataFrame | Indexed, left_field: str, right_field: str | None = None) -> DataFrame:
