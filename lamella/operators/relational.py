@@ -55,10 +55,11 @@ def _equal(left: DataFrame, right: DataFrame, left_field: str, right_field: str)
 def merge_join(left: DataFrame, right: DataFrame, left_field: str, right_field: str, pairs: int = 4_000_000, rows: int = 100_000) -> DataFrame:
     """Inner equi-join by sorting both sides; groups of equal keys on both sides multiply. The left name wins.
 
-    The rows of each key are counted first. Where groups multiply, tasks are as many as the pairs ask for, `pairs` to each
-    until there are MOST_TASKS: Spark sizes tasks by the bytes they read, which say nothing of the pairs. A key with more
-    than a task's share, or more than `rows` right rows (a left row's pairs are held at once), is dealt in blocks: parts of
-    its left rows by parts of its right ones. Each pair of rows meets in one block; each block is sorted and merged.
+    The rows of each key are counted first, of a smaller right side those alone unless keys recur there. Where groups
+    multiply, tasks are as many as the pairs ask for, `pairs` to each until there are MOST_TASKS: Spark sizes tasks by the
+    bytes they read, which say nothing of the pairs. A key with more than a task's share, or more than `rows` right rows (a
+    left row's pairs are held at once), is dealt in blocks: parts of its left rows by parts of its right ones. Each pair of
+    rows meets in one block; each block is sorted and merged.
     """
     a, b, out = _apart(left, right)
     plain = a.join(b.hint("merge"), _equal(left, right, left_field, right_field))
@@ -69,6 +70,10 @@ def merge_join(left: DataFrame, right: DataFrame, left_field: str, right_field:
     for side, df, columns, field in (("l", a, left.columns, left_field), ("r", b, right.columns, right_field)):
         key = F.col(f"{side}{[c.lower() for c in columns].index(field.lower())}").cast(kind)
         keyed.append(df.withColumn("key", key).where(F.col("key").isNotNull()))
+    if _bytes(right) <= _bytes(left):
+        recur = keyed[1].groupBy(F.xxhash64("key").alias("h")).count().agg(F.max("count")).first()[0]
+        if (recur or 0) <= MULTIPLIED:
+            return plain.select(*out)
     ones = [df.select(F.xxhash64("key").alias("h"), F.lit(n).alias("l"), F.lit(1 - n).alias("r")) for n, df in zip((1, 0), keyed, strict=True)]
     groups = ones[0].unionAll(ones[1]).groupBy("h").agg(F.sum("l").alias("l"), F.sum("r").alias("r")).withColumn("pairs", F.col("l").cast("double") * F.col("r"))
     read, total, most, widest = groups.agg(F.sum(F.col("l") + F.col("r")), F.sum("pairs"), F.max("pairs"), F.max(F.when(F.col("l") > 0, F.col("r")))).first()
@@ -151,11 +156,16 @@ def block_product(left: DataFrame, right: DataFrame, rows: int = 100_000) -> Dat
     return each.join(dealt.hint("shuffle_hash"), "block").select(*out)
 
 
+def _bytes(df: DataFrame) -> int:
+    """Spark's estimate of a table's size."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def _large(df: DataFrame) -> bool:
     """Whether Spark's estimate exceeds its limit for sending a table to all executors."""
     spark = df.sparkSession
     limit = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.autoBroadcastJoinThreshold"))
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > int(limit)
+    return _bytes(df) > int(limit)
 
 
 def join(left: DataFrame, right: DataFrame, on: str, kind: str = "inner", aliases: tuple[str, str] = ("l", "r")) -> DataFrame:
